@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers wherever they run: once per application, through the shared folder."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root, held = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{root.name}-{uuid.uuid4().hex}.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(held.getvalue())
+    out.close()
+    sc.addPyFile(path.toString())
+    _shipped.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+    """df.mapInArrow for functions that use this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as a Parquet table to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
