@@ -1,0 +1,325 @@
+"""Analytical marts over the star: sales, products, customers, baskets, deliveries, promotions, features, retention."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from tidemill.functions.expressions import ratio, week_start
+from tidemill.plans.registry import Registry
+from tidemill.plans.star import STAR_SQL, Star, trailing
+
+query = Registry()
+QUERIES, SQL = query.queries, query.sql
+
+DAILY_SALES_SQL = """
+    placed as (select store_id, business_date, count(*) as placed, count(*) filter (is_cancelled) as cancelled, count(*) filter (is_completed) as completed, count(distinct case when is_completed then customer_id end) as customers from o group by 1, 2),
+    sold as (select store_id, business_date, sum(revenue) as gmv, sum(quantity) as units from l where is_completed group by 1, 2),
+    refunded as (select store_id, ship_date as business_date, sum(revenue) as refunds from l where is_completed and return_flag = 'R' group by 1, 2),
+    daily_sales as (select s.n_nationkey as store_id, cal.business_date, cast(coalesce(placed, 0) as bigint) as orders_placed, cast(coalesce(cancelled, 0) as bigint) as orders_cancelled, cast(coalesce(completed, 0) as bigint) as orders_completed,
+        cast(coalesce(gmv, 0) as decimal(18,4)) as gmv, cast(coalesce(refunds, 0) as decimal(18,4)) as refunds, cast(coalesce(gmv, 0) - coalesce(refunds, 0) as decimal(18,4)) as net_revenue,
+        case when completed > 0 then cast(coalesce(gmv, 0) as double) / completed end as avg_order_value, case when placed > 0 then round(cancelled / placed, 4) end as cancellation_rate,
+        cast(coalesce(units, 0) as bigint) as units, cast(coalesce(customers, 0) as bigint) as unique_customers
+      from nation s cross join cal left join placed p on p.store_id = s.n_nationkey and p.business_date = cal.business_date left join sold on sold.store_id = s.n_nationkey and sold.business_date = cal.business_date
+        left join refunded r on r.store_id = s.n_nationkey and r.business_date = cal.business_date)"""
+
+
+@query(f"with {STAR_SQL}, {DAILY_SALES_SQL} select * from daily_sales")
+def daily_sales(spark: SparkSession, d: str) -> DataFrame:
+    """Store-day grid with orders, revenue, refunds (by refund date) and rates; empty days are zeros."""
+    s, keys = Star(spark, d), ["store_id", "business_date"]
+    placed = s.orders().groupBy(*keys).agg(
+        F.count("*").alias("orders_placed"), F.count_if("is_cancelled").alias("orders_cancelled"), F.count_if("is_completed").alias("orders_completed"), F.count_distinct(F.when(F.col("is_completed"), F.col("customer_id"))).alias("unique_customers")
+    )
+    lines = s.completed_lines()
+    sold = lines.groupBy(*keys).agg(F.sum("revenue").alias("gmv"), F.sum("quantity").alias("units"))
+    refunded = lines.where("return_flag = 'R'").groupBy("store_id", F.col("ship_date").alias("business_date")).agg(F.sum("revenue").alias("refunds"))
+    grid = s.spine(s.stores().select("store_id")).join(placed, keys, "left").join(sold, keys, "left").join(refunded, keys, "left")
+    grid = grid.fillna(0, ["orders_placed", "orders_cancelled", "orders_completed", "unique_customers", "units"]).withColumns({c: F.coalesce(c, F.lit(0)).cast("decimal(18,4)") for c in ("gmv", "refunds")})
+    return grid.select(
+        *keys,
+        "orders_placed",
+        "orders_cancelled",
+        "orders_completed",
+        "gmv",
+        "refunds",
+        (F.col("gmv") - F.col("refunds")).cast("decimal(18,4)").alias("net_revenue"),
+        ratio(F.col("gmv"), F.col("orders_completed"), None).alias("avg_order_value"),
+        ratio(F.col("orders_cancelled"), F.col("orders_placed")).alias("cancellation_rate"),
+        "units",
+        "unique_customers",
+    )
+
+
+CATEGORY_SQL = """
+    cat_sold as (select store_id, category, business_date, sum(quantity) as units, sum(revenue) as revenue, count(distinct order_id) as orders from l where is_completed group by 1, 2, 3),
+    promo_days as (select distinct category, cast(unnest(generate_series(start_date, end_date, interval 1 day)) as date) as business_date from promo),
+    daily_category_sales as (select n_nationkey as store_id, c.category, cal.business_date, cast(coalesce(units, 0) as bigint) as units, cast(coalesce(revenue, 0) as decimal(18,4)) as revenue, cast(coalesce(orders, 0) as bigint) as orders,
+        case when units > 0 then cast(revenue as double) / units end as avg_price, pd.category is not null as promo_active
+      from nation cross join (select distinct p_type as category from part) c cross join cal left join cat_sold x on x.store_id = n_nationkey and x.category = c.category and x.business_date = cal.business_date
+        left join promo_days pd on pd.category = c.category and pd.business_date = cal.business_date)"""
+
+
+@query(f"with {STAR_SQL}, {CATEGORY_SQL} select * from daily_category_sales")
+def daily_category_sales(spark: SparkSession, d: str) -> DataFrame:
+    """Store-category-day grid, zero-filled, with the days of promotions (an interval join by exploded days)."""
+    s, keys = Star(spark, d), ["store_id", "category", "business_date"]
+    sold = s.completed_lines().groupBy(*keys).agg(F.sum("quantity").alias("units"), F.sum("revenue").alias("revenue"), F.count_distinct("order_id").alias("orders"))
+    promoted = s.promotions().select("category", F.explode(F.sequence("start_date", "end_date", F.expr("interval 1 day"))).alias("business_date")).distinct().withColumn("promo_active", F.lit(True))
+    grid = s.spine(s.stores().select("store_id"), s.products().select("category").distinct())
+    full = grid.join(sold, keys, "left").join(promoted, ["category", "business_date"], "left").fillna(0, ["units", "orders"])
+    return full.select(*keys, "units", F.coalesce("revenue", F.lit(0)).cast("decimal(18,4)").alias("revenue"), "orders", ratio(F.col("revenue"), F.col("units"), None).alias("avg_price"), F.coalesce("promo_active", F.lit(False)).alias("promo_active"))
+
+
+PRODUCT_SQL = """
+    pm as (select product_id, category, cast(date_trunc('month', business_date) as date) as month, sum(quantity) as units, sum(revenue) as revenue, count(distinct order_id) as orders from l where is_completed group by 1, 2, 3),
+    product_performance as (select product_id, category, month, cast(units as bigint) as units, cast(revenue as decimal(18,4)) as revenue, cast(orders as bigint) as orders, cast(revenue as double) / nullif(units, 0) as avg_selling_price,
+        cast(dense_rank() over (partition by category, month order by revenue desc) as int) as category_rank, round(cast(revenue as double) / nullif(cast(sum(revenue) over (partition by category, month) as double), 0), 4) as category_share from pm)"""
+
+
+@query(f"with {STAR_SQL}, {PRODUCT_SQL} select * from product_performance")
+def product_performance(spark: SparkSession, d: str) -> DataFrame:
+    """Product-month totals with dense rank and share within the category."""
+    m = Star(spark, d).completed_lines().groupBy("product_id", "category", F.trunc("business_date", "month").alias("month")).agg(F.sum("quantity").alias("units"), F.sum("revenue").alias("revenue"), F.count_distinct("order_id").alias("orders"))
+    w = W.partitionBy("category", "month")
+    return m.select(
+        "product_id",
+        "category",
+        "month",
+        "units",
+        F.col("revenue").cast("decimal(18,4)").alias("revenue"),
+        "orders",
+        ratio(F.col("revenue"), F.col("units"), None).alias("avg_selling_price"),
+        F.dense_rank().over(w.orderBy(F.desc("revenue"))).alias("category_rank"),
+        ratio(F.col("revenue"), F.sum("revenue").over(w)).alias("category_share"),
+    )
+
+
+CUSTOMER_SQL = """
+    per_order as (select order_id, sum(revenue) as gmv, sum(quantity) as units, count(distinct product_id) as items from l group by 1),
+    facts as (select o.*, coalesce(gmv, 0) as gmv, coalesce(units, 0) as units, coalesce(items, 0) as items from o left join per_order using (order_id)),
+    tops as (select customer_id, category from (select customer_id, category, row_number() over (partition by customer_id order by sum(revenue) desc, category) as n from l where is_completed group by 1, 2) where n = 1),
+    span as (select max(business_date) as last_day from o),
+    cust as (select customer_id, count(*) as placed, count(*) filter (is_completed) as completed, count(*) filter (is_cancelled) as cancelled, sum(gmv) filter (is_completed) as spend, avg(items) filter (is_completed) as avg_items,
+        max(business_date) filter (is_completed) as last_completed, min(business_date) as first_seen, sum(case when isodow(business_date) >= 6 then 1 else 0 end) as weekend from facts group by 1)"""
+
+
+@query(f"""with {STAR_SQL}, {CUSTOMER_SQL}
+    select c_custkey as customer_id, c_mktsegment as persona, cast(coalesce(placed, 0) as bigint) as orders_placed, cast(coalesce(completed, 0) as bigint) as orders_completed, cast(coalesce(cancelled, 0) as bigint) as orders_cancelled,
+      cast(coalesce(spend, 0) as decimal(18,4)) as total_spend, case when completed > 0 then cast(spend as double) / completed end as avg_order_value, round(avg_items, 2) as avg_items, last_day - last_completed as recency_days,
+      last_day - first_seen as tenure_days, case when placed > 0 then round(weekend / placed, 4) end as weekend_share, tops.category as top_category
+    from customer left join cust on cust.customer_id = c_custkey left join tops on tops.customer_id = c_custkey cross join span""")
+def customer_360(spark: SparkSession, d: str) -> DataFrame:
+    """Recency, frequency, value and habits of every customer; those who never ordered are kept."""
+    s = Star(spark, d)
+    lines = s.order_lines()
+    per_order = lines.groupBy("order_id").agg(F.sum("revenue").alias("gmv"), F.count_distinct("product_id").alias("items"))
+    done = F.col("is_completed")
+    facts = s.orders().join(per_order, "order_id", "left").fillna(0, ["items"]).withColumn("gmv", F.coalesce("gmv", F.lit(0)))
+    per = facts.groupBy("customer_id").agg(
+        F.count("*").alias("placed"),
+        F.count_if(done).alias("completed"),
+        F.count_if("is_cancelled").alias("cancelled"),
+        F.sum(F.when(done, F.col("gmv"))).alias("spend"),
+        F.avg(F.when(done, F.col("items"))).alias("avg_items"),
+        F.max(F.when(done, F.col("business_date"))).alias("last_completed"),
+        F.min("business_date").alias("first_seen"),
+        F.count_if(F.weekday("business_date") >= 5).alias("weekend"),
+    )
+    by_category = lines.where(done).groupBy("customer_id", "category").agg(F.sum("revenue").alias("r"))
+    top = by_category.groupBy("customer_id").agg(F.min_by("category", F.struct((-F.col("r")).alias("r"), "category")).alias("top_category"))
+    last = s.orders().agg(F.max("business_date").alias("last_day"))
+    c = s.table("customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("persona"))
+    full = c.join(per, "customer_id", "left").join(top, "customer_id", "left").join(F.broadcast(last))  # one row
+    zero = lambda n, a: F.coalesce(n, F.lit(0)).alias(a)
+    return full.select(
+        "customer_id",
+        "persona",
+        zero("placed", "orders_placed"),
+        zero("completed", "orders_completed"),
+        zero("cancelled", "orders_cancelled"),
+        F.coalesce("spend", F.lit(0)).cast("decimal(18,4)").alias("total_spend"),
+        ratio(F.col("spend"), F.col("completed"), None).alias("avg_order_value"),
+        F.round("avg_items", 2).alias("avg_items"),
+        F.datediff("last_day", "last_completed").cast("bigint").alias("recency_days"),
+        F.datediff("last_day", "first_seen").cast("bigint").alias("tenure_days"),
+        ratio(F.col("weekend"), F.col("placed")).alias("weekend_share"),
+        "top_category",
+    )
+
+
+@query(f"""with {STAR_SQL} select customer_id, category, cast(sum(revenue) as decimal(18,4)) as revenue, cast(count(distinct order_id) as bigint) as orders,
+    round(cast(sum(revenue) as double) / nullif(cast(sum(sum(revenue)) over (partition by customer_id) as double), 0), 4) as share from l where is_completed group by 1, 2""")
+def customer_category_share(spark: SparkSession, d: str) -> DataFrame:
+    """Spend per customer and category with its share of the customer's total."""
+    g = Star(spark, d).completed_lines().groupBy("customer_id", "category").agg(F.sum("revenue").alias("revenue"), F.count_distinct("order_id").alias("orders"))
+    share = ratio(F.col("revenue"), F.sum("revenue").over(W.partitionBy("customer_id")))
+    return g.select("customer_id", "category", F.col("revenue").cast("decimal(18,4)").alias("revenue"), "orders", share.alias("share"))
+
+
+BASKET_SQL = """
+    held as (select distinct order_id, brand from l where is_completed),
+    single as (select brand, count(*) as n from held group by 1), total as (select count(distinct order_id) as n from held),
+    basket_pairs as (select x.brand as product_a, y.brand as product_b, cast(count(*) as bigint) as baskets_both, round(count(*) / any_value(t.n), 6) as support, round(count(*) / any_value(a.n), 4) as confidence_ab,
+        round(count(*) / any_value(b.n), 4) as confidence_ba, round(count(*) * any_value(t.n) / (any_value(a.n) * any_value(b.n)), 3) as lift
+      from held x join held y on x.order_id = y.order_id and x.brand < y.brand join single a on a.brand = x.brand join single b on b.brand = y.brand cross join total t group by 1, 2 having count(*) >= 8)"""
+
+
+@query(f"with {STAR_SQL}, {BASKET_SQL} select * from basket_pairs")
+def basket_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Brand pairs bought in the same completed order, at least 8 baskets (equi self-join with an inequality)."""
+    held = Star(spark, d).completed_lines().select("order_id", "brand").distinct()
+    single, total = held.groupBy("brand").agg(F.count("*").alias("n")), held.agg(F.count_distinct("order_id").alias("t"))
+    both = held.select("order_id", F.col("brand").alias("product_a")).join(held.select("order_id", F.col("brand").alias("product_b")), "order_id").where("product_a < product_b").groupBy("product_a", "product_b").agg(F.count("*").alias("baskets_both"))
+    full = both.where("baskets_both >= 8").join(single.select(F.col("brand").alias("product_a"), F.col("n").alias("na")), "product_a").join(single.select(F.col("brand").alias("product_b"), F.col("n").alias("nb")), "product_b").join(F.broadcast(total))
+    n, b = F.col("t"), F.col("baskets_both")
+    return full.select("product_a", "product_b", "baskets_both", F.round(b / n, 6).alias("support"), F.round(b / F.col("na"), 4).alias("confidence_ab"), F.round(b / F.col("nb"), 4).alias("confidence_ba"), F.round(b * n / (F.col("na") * F.col("nb")), 3).alias("lift"))
+
+
+@query(f"""with {STAR_SQL}, {BASKET_SQL}
+    select * from (select product_a as antecedent, product_b as consequent, baskets_both, support, confidence_ab as confidence, lift from basket_pairs
+      union all select product_b, product_a, baskets_both, support, confidence_ba, lift from basket_pairs) where confidence >= 0.1 and lift >= 0.9""")
+def basket_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Each pair as two directed rules, filtered by confidence and lift; one pass, no union of scans."""
+    sides = F.array(
+        F.struct(F.col("product_a").alias("antecedent"), F.col("product_b").alias("consequent"), F.col("confidence_ab").alias("confidence")),
+        F.struct(F.col("product_b").alias("antecedent"), F.col("product_a").alias("consequent"), F.col("confidence_ba").alias("confidence")),
+    )
+    return basket_pairs(spark, d).select(F.explode(sides).alias("s"), "baskets_both", "support", "lift").select("s.*", "baskets_both", "support", "lift").where("confidence >= 0.1 and lift >= 0.9")
+
+
+DELIVERY_SQL = """
+    delivery_metrics as (select store_id, business_date, cast(count(*) as bigint) as deliveries, cast(count(*) filter (ok) as bigint) as delivered, round(avg(days) filter (ok), 2) as avg_days, quantile_cont(days, 0.5) filter (ok) as p50_days, quantile_cont(days, 0.9) filter (ok) as p90_days,
+        case when count(*) filter (ok) > 0 then round(count(*) filter (ok and days <= 30) / count(*) filter (ok), 4) end as on_time_rate, cast(count(distinct supplier) as bigint) as active_partners
+      from (select store_id, business_date, l_suppkey as supplier, cast(cast(l_shipdate as date) - business_date as double) as days, cast(l_shipdate as date) >= business_date as ok from lineitem join o on o.order_id = l_orderkey) group by 1, 2)"""
+
+
+@query(f"with {STAR_SQL}, {DELIVERY_SQL} select * from delivery_metrics")
+def delivery_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Per store and day: shipments, exact median and 90th percentile of days to ship, share within 30 days."""
+    s = Star(spark, d)
+    i = s.table("lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("supplier"), F.to_date("l_shipdate").alias("shipped"))
+    days = F.datediff("shipped", "business_date").cast("double")
+    x = i.join(s.orders(), "order_id").select("store_id", "business_date", "supplier", days.alias("days"), (days >= 0).alias("ok"))
+    ok = F.when(F.col("ok"), F.col("days"))
+    g = x.groupBy("store_id", "business_date").agg(
+        F.count("*").alias("deliveries"), F.count_if("ok").alias("delivered"), F.round(F.avg(ok), 2).alias("avg_days"), F.percentile(ok, 0.5).alias("p50_days"), F.percentile(ok, 0.9).alias("p90_days"), F.count_if(ok <= 30).alias("on_time"), F.count_distinct("supplier").alias("active_partners")
+    )
+    return g.withColumn("on_time_rate", ratio(F.col("on_time"), F.col("delivered"))).drop("on_time")
+
+
+@query(f"""with {STAR_SQL}, w as (select store_id, cast(date_trunc('week', business_date) as date) as week, o_orderpriority as reason, count(*) filter (is_cancelled) as n, count(*) as placed from o join orders on o_orderkey = order_id group by 1, 2, 3)
+    select store_id, week, reason, cast(n as bigint) as cancellations, round(n / sum(placed) over (partition by store_id, week), 4) as share_of_orders from w qualify n > 0""")
+def cancellation_metrics_weekly(spark: SparkSession, d: str) -> DataFrame:
+    """Cancelled orders per store, Monday week and reason, as a share of the week's orders."""
+    s = Star(spark, d)
+    reason = s.table("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderpriority").alias("reason"))
+    g = s.orders().join(reason, "order_id").groupBy("store_id", week_start(F.col("business_date")).alias("week"), "reason").agg(F.count_if("is_cancelled").alias("cancellations"), F.count("*").alias("placed"))
+    share = ratio(F.col("cancellations"), F.sum("placed").over(W.partitionBy("store_id", "week")))
+    return g.select("store_id", "week", "reason", "cancellations", share.alias("share_of_orders")).where("cancellations > 0")
+
+
+@query(f"""with {STAR_SQL}, net as (select category, business_date, sum(quantity) as units from l where is_completed group by 1, 2),
+    grid as (select p.promotion_id, p.start_date, p.end_date, p.category, cal.business_date, coalesce(units, 0) as units, cal.business_date between start_date and end_date as active from promo p cross join cal left join net using (category, business_date))
+    select promotion_id, category, start_date, end_date, end_date - start_date + 1 as days_active, round(avg(units) filter (active), 2) as promo_avg_units, round(avg(units) filter (not active), 2) as base_avg_units,
+      round(round((round(avg(units) filter (active), 2) - round(avg(units) filter (not active), 2)) / nullif(round(avg(units) filter (not active), 2), 0), 4) * 100, 1) as uplift_pct from grid group by 1, 2, 3, 4""")
+def promotion_uplift(spark: SparkSession, d: str) -> DataFrame:
+    """Mean daily units of the category on promotion days against all other days."""
+    s = Star(spark, d)
+    units = s.completed_lines().groupBy("category", "business_date").agg(F.sum("quantity").alias("units"))
+    grid = s.spine(s.promotions()).join(units, ["category", "business_date"], "left").fillna(0, ["units"])
+    active = F.col("business_date").between(F.col("start_date"), F.col("end_date"))
+    g = grid.groupBy("promotion_id", "category", "start_date", "end_date").agg(F.round(F.avg(F.when(active, F.col("units"))), 2).alias("promo_avg_units"), F.round(F.avg(F.when(~active, F.col("units"))), 2).alias("base_avg_units"))
+    up = F.round(ratio(F.col("promo_avg_units") - F.col("base_avg_units"), F.col("base_avg_units")) * 100, 1)
+    return g.withColumns({"days_active": (F.datediff("end_date", "start_date") + 1).cast("bigint"), "uplift_pct": up})
+
+
+FEATURES_SQL = """
+    feat as (select store_id, category, business_date, units, lag(units, 1) over w as lag_1, lag(units, 7) over w as lag_7, lag(units, 14) over w as lag_14,
+        round(avg(units) over (partition by store_id, category order by business_date rows between 7 preceding and 1 preceding), 3) as mean_7, round(avg(units) over (partition by store_id, category order by business_date rows between 14 preceding and 1 preceding), 3) as mean_14,
+        round(stddev_samp(units) over (partition by store_id, category order by business_date rows between 7 preceding and 1 preceding), 3) as std_7, cast(count(*) over (partition by store_id, category order by business_date rows between unbounded preceding and 1 preceding) as bigint) as history_days,
+        cast(isodow(business_date) as int) as day_of_week, cast(month(business_date) as int) as month, cast(day(business_date) as int) as day_of_month, promo_active, case when business_date <= date '2000-12-31' then 'train' else 'test' end as split
+      from daily_category_sales window w as (partition by store_id, category order by business_date))"""
+
+
+@query(f"with {STAR_SQL}, {CATEGORY_SQL}, {FEATURES_SQL} select * from feat")
+def demand_features(spark: SparkSession, d: str) -> DataFrame:
+    """Past-only features of every store-category-day: lags, rolling means and deviation, calendar, promotion."""
+    w = trailing("store_id", "category")
+    past = lambda n: w.rowsBetween(-n, -1)
+    return daily_category_sales(spark, d).select(
+        "store_id",
+        "category",
+        "business_date",
+        "units",
+        *[F.lag("units", n).over(w).alias(f"lag_{n}") for n in (1, 7, 14)],
+        *[F.round(F.avg("units").over(past(n)), 3).alias(f"mean_{n}") for n in (7, 14)],
+        F.round(F.stddev_samp("units").over(past(7)), 3).alias("std_7"),
+        F.count("*").over(w.rowsBetween(W.unboundedPreceding, -1)).alias("history_days"),
+        (F.weekday("business_date") + 1).alias("day_of_week"),
+        F.month("business_date").alias("month"),
+        F.dayofmonth("business_date").alias("day_of_month"),
+        "promo_active",
+        F.when(F.col("business_date") <= "2000-12-31", "train").otherwise("test").alias("split"),
+    )
+
+
+RETENTION_SQL = """
+    done as (select customer_id, business_date, total_amount from o where is_completed),
+    firsts as (select customer_id, min(date_trunc('month', business_date)) as cohort from done group by 1),
+    active as (select distinct customer_id, date_trunc('month', business_date) as month from done)"""
+
+
+@query(f"""with {STAR_SQL}, {RETENTION_SQL}
+    select cast(cohort as date) as cohort_month, cast(date_diff('month', cohort, month) as int) as month_offset, cast(max(size) as bigint) as cohort_size, cast(count(*) as bigint) as active_customers, round(count(*) / max(size), 4) as retention_rate
+    from active join firsts using (customer_id) join (select cohort, count(*) as size from firsts group by 1) using (cohort) group by 1, 2""")
+def retention_cohorts(spark: SparkSession, d: str) -> DataFrame:
+    """Customers by month of their first completed order, and how many order again in each later month."""
+    done = Star(spark, d).orders().where("is_completed").select("customer_id", F.trunc("business_date", "month").alias("month")).distinct()
+    w = W.partitionBy("customer_id")
+    dated = done.withColumn("cohort_month", F.min("month").over(w))
+    offset = F.months_between("month", "cohort_month").cast("int")
+    g = dated.groupBy("cohort_month", offset.alias("month_offset")).agg(F.count("*").alias("active_customers"))
+    size = F.max(F.when(F.col("month_offset") == 0, F.col("active_customers"))).over(W.partitionBy("cohort_month"))
+    return g.withColumn("cohort_size", size).withColumn("retention_rate", ratio(F.col("active_customers"), F.col("cohort_size")))
+
+
+@query(f"""with {STAR_SQL}, {RETENTION_SQL},
+    per as (select customer_id, count(*) as orders, sum(total_amount) as value, min(business_date) as first_day, max(business_date) as last_day from done group by 1),
+    ranked as (select *, row_number() over (order by value, customer_id) as r, count(*) over () as n, (select max(business_date) from o) as as_of from per)
+    select customer_id, cast(orders as bigint) as orders, cast(value as decimal(18,2)) as value, cast(as_of - last_day as bigint) as days_since, case when as_of - last_day <= 14 then 'active' when as_of - last_day <= 30 then 'cooling' when as_of - last_day <= 60 then 'at_risk' else 'lapsed' end as status,
+      case when 3 * (r - 1) < n - 1 then 'Low' when 3 * (r - 1) < 2 * (n - 1) then 'Medium' else 'High' end as value_tier, case when orders > 1 then round((last_day - first_day) / (orders - 1), 1) end as avg_gap_days from ranked""")
+def retention_status_terciles(spark: SparkSession, d: str) -> DataFrame:
+    """Recency band, value tercile and mean gap between orders of every buyer.
+
+    Terciles come from the rank over all buyers; ranks are made without one global sort: buyers are range-sorted by
+    value, ranked inside their partition and shifted by the sizes of the partitions before.
+    """
+    done = Star(spark, d).orders().where("is_completed")
+    per = done.groupBy("customer_id").agg(F.count("*").alias("orders"), F.sum("total_amount").alias("value"), F.min("business_date").alias("first_day"), F.max("business_date").alias("last_day"))
+    ranked = global_rank(per, ["value", "customer_id"])
+    ends = Star(spark, d).orders().agg(F.max("business_date").alias("as_of"))
+    x = ranked.join(F.broadcast(ends))  # one row
+    days = F.datediff("as_of", "last_day")
+    r, n = F.col("rank"), F.col("rows")
+    return x.select(
+        "customer_id",
+        "orders",
+        F.col("value").cast("decimal(18,2)").alias("value"),
+        days.cast("bigint").alias("days_since"),
+        F.when(days <= 14, "active").when(days <= 30, "cooling").when(days <= 60, "at_risk").otherwise("lapsed").alias("status"),
+        F.when(3 * (r - 1) < n - 1, "Low").when(3 * (r - 1) < 2 * (n - 1), "Medium").otherwise("High").alias("value_tier"),
+        F.when(F.col("orders") > 1, F.round(F.datediff("last_day", "first_day") / (F.col("orders") - 1), 1)).alias("avg_gap_days"),
+    )
+
+
+def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
+    """`df` with the 1-based rank by `order` (a total order, ascending) and the number of rows, without sorting in one task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
+    local = parts.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
+    sizes = local.groupBy("__p").agg(F.max("__r").alias("held"))  # one row per partition
+    w = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select("__p", F.coalesce(F.sum("held").over(w), F.lit(0)).alias("__b"), F.sum("held").over(W.partitionBy()).alias("rows"))
+    return local.join(F.broadcast(before), "__p").withColumn("rank", F.col("__r") + F.col("__b")).drop("__p", "__r", "__b")
