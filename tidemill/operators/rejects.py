@@ -19,7 +19,7 @@ _CELL = f"(?:{_QUOTED}|{_PLAIN})"
 #: Well quoted: every cell that begins with a quote also ends with one. \z, as $ would allow a trailing line end.
 _WELL_QUOTED = rf"\A{_CELL}(?:,{_CELL})*+\z"
 
-_INSTANT = r"(?:(\d{4})-(\d\d)-(\d\d)T(\d\d:\d\d:\d\d)(?:Z|\+00:00)|(\d\d)/(\d\d)/(\d{4}) (\d\d:\d\d:\d\d)|(\d{4})-(\d\d)-(\d\d) (\d\d:\d\d:\d\d)|(\d{4})/(\d\d)/(\d\d) (\d\d:\d\d:\d\d))"
+_TIME = r"\d\d:\d\d:\d\d"
 
 
 @dataclass(frozen=True)
@@ -38,10 +38,13 @@ class Cell:
 
 def instant(text: Column) -> Column:
     """A timestamp from one of the five layouts; null unless it is a real instant (no 30 February, no hour 24)."""
-    part = lambda *groups: F.concat(*[F.regexp_extract(text, rf"\A{_INSTANT}\z", g) for g in groups])
-    # Of the four alternatives only one matches; the groups of the others are empty strings.
-    iso = F.concat(part(1, 7, 9, 13), F.lit("-"), part(2, 6, 10, 14), F.lit("-"), part(3, 5, 11, 15), F.lit(" "), part(4, 8, 12, 16))
-    return F.when(text.rlike(rf"\A{_INSTANT}\z"), F.when(~iso.startswith("0000"), iso.try_cast("timestamp")))
+    part = lambda start, length: F.substring(text, start, length)
+    plain = (
+        F.when(text.rlike(rf"\A\d{{4}}-\d\d-\d\dT{_TIME}(?:Z|\+00:00)\z"), F.concat(part(1, 10), F.lit(" "), part(12, 8)))
+        .when(text.rlike(rf"\A\d{{4}}([-/])\d\d\1\d\d {_TIME}\z"), F.translate(text, "/", "-"))
+        .when(text.rlike(rf"\A\d\d/\d\d/\d{{4}} {_TIME}\z"), F.concat(part(7, 4), F.lit("-"), part(4, 2), F.lit("-"), part(1, 2), F.lit(" "), part(12, 8)))
+    )
+    return F.when(~plain.startswith("0000"), plain).try_cast("timestamp")
 
 
 def _value(cell: Cell, text: Column) -> Column:
