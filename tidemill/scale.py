@@ -72,6 +72,6 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, total: int) ->
     whatever the data. Only the rest, in which no key is hot, is shuffled.
     """
     limit = max(1, total // HOT_SHARE)
-    hot = F.broadcast(right.where(F.col(n) > limit).limit(HOT_SHARE))
+    hot = F.broadcast(right.where(F.col(n) > limit))
     cold = right.where(F.col(n) <= limit)
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
