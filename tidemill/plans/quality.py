@@ -343,13 +343,32 @@ def p5_profile(spark: SparkSession, d: str) -> DataFrame:
 _QUANTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
-@query()
+def _each_column_sql(part: Callable[[str, str, Profiled], str]) -> str:
+    return " union all ".join(f"({part(t, load, p)})" for t, (load, columns) in PROFILED.items() for p in columns)
+
+
+def _quantiles_sql(t: str, load: str, p: Profiled) -> str:
+    value = p.name if p.pattern else f"cast({p.name} as double)"
+    return f"""select '{t}' as table_name, load_key, '{p.name}' as column_name, unnest([{", ".join(f"cast({q} as double)" for q in _QUANTILES)}]) as q, cast(unnest(values) as varchar) as value
+        from (select {load} as load_key, quantile_disc({value}, [{", ".join(map(str, _QUANTILES))}]) as values from {t} where {p.name} is not null group by 1)"""
+
+
+def _drift_sql(t: str, load: str, p: Profiled) -> str:
+    return f"""select '{t}' as table_name, load_key, previous, '{p.name}' as column_name, round(max(abs(fa - fb)), 6) as ks from (
+        select load_key, previous, sum(a) over w / sum(a) over (partition by load_key) as fa, sum(b) over w / sum(b) over (partition by load_key) as fb from (
+          select pairs.load_key, previous, v, sum(case when c.l = pairs.load_key then n else 0 end) as a, sum(case when c.l = previous then n else 0 end) as b
+          from (select l as load_key, lag(l) over (order by l) as previous from (select distinct {load} as l from {t} where {load} is not null and {p.name} is not null)) pairs
+          join (select {load} as l, {p.name} as v, count(*) as n from {t} where {p.name} is not null group by 1, 2) c on c.l = pairs.load_key or c.l = previous where previous is not null group by 1, 2, 3)
+        window w as (partition by load_key order by v)) group by 2, 3"""
+
+
+@query(_each_column_sql(_quantiles_sql))
 def p5_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact quantiles of every load's columns, values as text."""
     return _each_profiled(lambda df, load, columns: profile.load_quantiles(df, load, columns, _QUANTILES), spark, d)
 
 
-@query()
+@query(_each_column_sql(_drift_sql))
 def p5_drift(spark: SparkSession, d: str) -> DataFrame:
     """Exact Kolmogorov-Smirnov distance of every load's columns to the load before."""
-    return _each_profiled(profile.load_drift, spark, d)
+    return _each_profiled(profile.load_drift, spark, d).withColumn("ks", F.round("ks", 6))
