@@ -241,7 +241,7 @@ def p3_file_summary(spark: SparkSession, d: str) -> DataFrame:
 
 # --- 4: references to records that do not exist ---------------------------------------------------------------------
 
-#: The parent tables that mark deleted rows.
+#: The references that fk_specs lists, for the SQL side.
 _SPEC_SQL = [("slv_order_items", "order_id", "slv_orders", "order_id"), ("slv_order_items", "product_id", "products", "product_id"), ("slv_orders", "store_id", "stores", "store_id"), ("brz_payments", "order_id", "slv_orders", "order_id")]
 
 
