@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions.keys import norm_key
-from tidemill.llm.pairs import item_pairs
+from tidemill.llm.pairs import all_pairs, item_pairs
 
 SCHEMA = "o string, p string, basket string, item string, n int"
 
@@ -50,3 +50,27 @@ def test_empty_and_support(spark):
     assert item_pairs(df, F.col("o"), F.col("p"), 1, 0.1).count() == 0
     with pytest.raises(ValueError):
         item_pairs(df, F.col("o"), F.col("p"), 1, 0.0)
+
+
+@pytest.mark.parametrize("block", [1, 3, 16, 1024])
+def test_all_pairs_have_no_floor(spark, block):
+    # 5,000 baskets of one item put every pair far below any support that item_pairs is asked for.
+    rows = [(f"o{i % 40}", f"p{(i * i + i // 7) % 9}", "x", "y", 1) for i in range(300)] + [(f"s{i}", "p1", "x", "y", 1) for i in range(5000)]
+    rows += [(" O1", "P1 ", None, None, None), (None, "p1", "x", "y", 1), ("o1", None, "x", "y", 1), ("", "p1", "x", "y", 1)] + [("big", f"p{i}", "x", "y", 1) for i in range(50)]
+    n, single, both = expected(rows)
+    got = all_pairs(spark.createDataFrame(rows, SCHEMA), norm_key(F.col("o")), norm_key(F.col("p")), block).collect()
+    assert len(got) == len(both) and {(r.item_a, r.item_b): r.baskets_both for r in got} == both
+    for r in got:
+        lift = both[r.item_a, r.item_b] * n / (single[r.item_a] * single[r.item_b])
+        assert (r.n_baskets, r.baskets_a, r.baskets_b) == (n, single[r.item_a], single[r.item_b]) and math.isclose(r.lift, lift) and math.isclose(r.support, r.baskets_both / n)
+    assert any(r.baskets_both == 1 for r in got) and any(r.lift < 1 for r in got)
+
+
+def test_all_pairs_of_the_tables(spark, sf):
+    from tidemill.llm import queries
+    from tidemill.sources.tables import table
+
+    rows = table(spark, sf, "slv_order_items").select("order_id", "product_id").collect()
+    n, _, both = expected(rows)
+    got = queries.QUERIES["p6_all_pairs"](spark, sf).collect()
+    assert {(r.product_a, r.product_b): (r.baskets_both, r.n_baskets) for r in got} == {k: (v, n) for k, v in both.items()}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def item_pairs(df: DataFrame, basket: Column, item: Column, min_both: int, min_support: float, min_lift: float = 0.0) -> DataFrame:
@@ -19,11 +20,11 @@ def item_pairs(df: DataFrame, basket: Column, item: Column, min_both: int, min_s
     an item repeated in a basket counts once; a blank key is a key. An empty table gives no pair.
 
     `min_support` must be positive: it bounds the items that are kept to (mean basket size / min_support), whatever
-    the data. That is what may be broadcast here, and the longest array one basket can collect.
+    the data. That is what may be broadcast here, and the longest array one basket can collect. Pairs below any support: `all_pairs`.
     """
     if not min_support > 0:
         raise ValueError("min_support must be positive: it bounds the broadcast items and the arrays of large baskets")
-    held = df.select(basket.alias("basket"), item.alias("item")).where(F.col("basket").isNotNull() & F.col("item").isNotNull()).distinct()
+    held = _held(df, basket, item)
     n = F.broadcast(held.select("basket").distinct().agg(F.count("*").alias("n")))  # one row
     items = held.groupBy("item").agg(F.count("*").alias("baskets")).join(n)
     # The best a pair with this item can reach; the slack covers the rounding of the division.
@@ -34,10 +35,49 @@ def item_pairs(df: DataFrame, basket: Column, item: Column, min_both: int, min_s
     pairs = firsts.select("n", "a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("b"))
     keys = [F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b"), F.col("a.baskets").alias("baskets_a"), F.col("b.baskets").alias("baskets_b"), F.col("n").alias("n_baskets")]
     counts = pairs.groupBy(*keys).agg(F.count("*").alias("baskets_both")).where(F.col("baskets_both") >= min_both)
+    scored = _measures(counts)
+    return _information(scored.where((F.col("support") >= min_support) & (F.col("lift") >= min_lift)))
+
+
+def all_pairs(df: DataFrame, basket: Column, item: Column, block: int = 1024) -> DataFrame:
+    """The columns of `item_pairs` for every pair item_a < item_b that shares a basket, however rare.
+
+    No threshold bounds the items here, so nothing is broadcast but the number of baskets, and the items of a basket are
+    numbered and cut into blocks of `block`: a pair lies in exactly one cell (block of a, block of b) of its basket. Cells
+    are what is shuffled and collected, so no array is longer than `block` and the cells of a huge basket are spread
+    over tasks. A basket of up to `block` items is one cell.
+    """
+    held = _held(df, basket, item)
+    n = F.broadcast(held.select("basket").distinct().agg(F.count("*").alias("n_baskets")))  # one row
+    items = held.groupBy("item").agg(F.count("*").alias("baskets"))
+    own = W.partitionBy("basket")
+    ranked = held.select("basket", "item", F.row_number().over(own.orderBy("item")).alias("r"), F.count("*").over(own).alias("size")).where("size > 1")
+    blocks = ranked.select("basket", "item", F.floor((F.col("r") - 1) / block).cast("int").alias("own"), F.floor((F.col("size") - 1) / block).cast("int").alias("last"))
+    other = blocks.select("basket", "item", "own", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    # One struct as the key: by its parts Spark would leave all cells of a basket in the task of the basket.
+    cell = F.struct("basket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    parts = other.select(cell.alias("cell"), "item", "own").groupBy("cell").agg(
+        F.collect_list(F.when(F.col("own") == F.col("cell.i"), F.col("item"))).alias("low"),
+        F.collect_list(F.when(F.col("own") > F.col("cell.i"), F.col("item"))).alias("high"),
+    )
+    partners = F.when(F.col("cell.i") == F.col("cell.j"), F.col("low")).otherwise(F.col("high"))
+    pairs = parts.select(F.explode("low").alias("item_a"), partners.alias("partners")).select("item_a", F.explode("partners").alias("item_b")).where("item_a < item_b")
+    counts = pairs.groupBy("item_a", "item_b").agg(F.count("*").alias("baskets_both"))
+    counts = counts.join(items.select(F.col("item").alias("item_a"), F.col("baskets").alias("baskets_a")), "item_a").join(items.select(F.col("item").alias("item_b"), F.col("baskets").alias("baskets_b")), "item_b").join(n)
+    return _information(_measures(counts.select("item_a", "item_b", "baskets_a", "baskets_b", "n_baskets", "baskets_both")))
+
+
+def _held(df: DataFrame, basket: Column, item: Column) -> DataFrame:
+    return df.select(basket.alias("basket"), item.alias("item")).where(F.col("basket").isNotNull() & F.col("item").isNotNull()).distinct()
+
+
+def _measures(counts: DataFrame) -> DataFrame:
     both = F.col("baskets_both")
-    scored = counts.withColumns({"support": both / F.col("n_baskets"), "lift": (both * F.col("n_baskets")) / (F.col("baskets_a") * F.col("baskets_b"))})
-    scored = scored.where((F.col("support") >= min_support) & (F.col("lift") >= min_lift))
-    pmi = F.log2("lift")
+    return counts.withColumns({"support": both / F.col("n_baskets"), "lift": (both * F.col("n_baskets")) / (F.col("baskets_a") * F.col("baskets_b"))})
+
+
+def _information(scored: DataFrame) -> DataFrame:
+    both, pmi = F.col("baskets_both"), F.log2("lift")
     return scored.withColumns(
         {
             "confidence_ab": both / F.col("baskets_a"),
