@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 from datetime import date, timedelta
 
 import pytest
@@ -107,3 +108,20 @@ def test_serving_checks_roles_parameters_and_filters(spark):
     total = sum(r.net_revenue for r in every.collect() if r.store_id in two)
     assert kpis.net_revenue == total
     assert serving.one_of("c", ["a'b"]) == " and c in ('a''b')" and serving.one_of("c", []) == ""
+
+
+def test_published_lists_rest_on_all_lines(spark, sf):
+    lines = {(r.order, r.customer, r.product) for r in stats._lines(spark, sf, until=None).collect()}
+    early = {r.customer for r in stats._lines(spark, sf).select("customer").distinct().collect()}
+    everyone, orders, own = {c for _, c, _ in lines}, Counter(p for _, _, p in lines), Counter((c, p) for _, c, p in lines)
+    assert everyone - early
+    got = stats.QUERIES["recommend_published_topk"](spark, sf).collect()
+    assert {r.customer_id for r in got} == everyone
+    assert all((r.reason == "repeat") == ((r.customer_id, r.brand) in own) for r in got)
+    most = {c: max(k for (x, _), k in own.items() if x == c) for c in everyone}
+    for r in got:  # the score less its repeat and popularity parts is 0.6 times a co-purchase between 0 and 1
+        rest = r.score - own[r.customer_id, r.brand] / most[r.customer_id] - 0.5 * orders[r.brand] / max(orders.values())
+        assert -1e-4 < rest < 0.6 + 1e-4
+    late = min(everyone - early)
+    lists = [tuple(r) for r in serving.ask(spark, sf, "analyst", "customer_recommendations", customer=late).collect()]
+    assert lists == [(r.brand, r.score, r.reason, r.rank) for r in sorted(got, key=lambda r: r.rank) if r.customer_id == late] != []

@@ -210,15 +210,32 @@ _RECOMMEND_SQL = f"""
     rec as (select customer_id, brand, score, case when repeat > 0 then 'repeat' when copurchase > 0 then 'copurchase' else 'popular' end as reason, cast(row_number() over (partition by customer_id order by score desc, brand) as int) as rank from sc qualify rank <= 10)"""
 
 
-def _lines(spark: SparkSession, d: str, until: bool = True) -> DataFrame:
-    x = Star(spark, d).completed_lines().where(f"business_date {'<=' if until else '>'} date'{_CUT}'")
+#: The same over all completed lines: the cut serves the backtest only.
+_PUBLISHED_SQL = _RECOMMEND_SQL.replace(f" and business_date <= date '{_CUT}'", "")
+
+
+def _lines(spark: SparkSession, d: str, until: bool | None = True) -> DataFrame:
+    """Completed lines up to the cut, after it (False) or all of them (None)."""
+    x = Star(spark, d).completed_lines()
+    if until is not None:
+        x = x.where(f"business_date {'<=' if until else '>'} date'{_CUT}'")
     return x.select(F.col("order_id").alias("order"), F.col("customer_id").alias("customer"), F.col("brand").alias("product"))
 
 
 @query(f"with {STAR_SQL}, {_RECOMMEND_SQL} select * from rec")
 def recommend_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Ten brands for every customer from repeats, co-purchase and popularity."""
-    r = recommend.ranked(recommend.signals(_lines(spark, d)))
+    """The lists of the backtest: ten brands for every customer up to the cut, from repeats, co-purchase and popularity until then."""
+    return _topk(_lines(spark, d))
+
+
+@query(f"with {STAR_SQL}, {_PUBLISHED_SQL} select * from rec")
+def recommend_published_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The published lists: ten brands for every customer with completed orders, from all of these."""
+    return _topk(_lines(spark, d, until=None))
+
+
+def _topk(lines: DataFrame) -> DataFrame:
+    r = recommend.ranked(recommend.signals(lines))
     return r.select(F.col("customer").alias("customer_id"), F.col("product").alias("brand"), "score", "reason", "rank")
 
 
@@ -226,7 +243,7 @@ def recommend_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     per as (select customer_id, count(*) as t, count(rec.brand) as h from truth left join rec using (customer_id, brand) where customer_id in (select customer_id from rec) group by 1)
     select cast(count(*) as bigint) as customers, round(avg(h / 10), 4) as precision, round(avg(h / t), 4) as recall, round(avg(case when h > 0 then 1.0 else 0.0 end), 4) as hit_rate, round((select count(distinct brand) from rec) / 25, 4) as coverage from per""")
 def recommendation_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """How well those lists meet what was bought afterwards."""
+    """How well the lists of the backtest meet what was bought afterwards."""
     return recommend.ranking_metrics(recommend.ranked(recommend.signals(_lines(spark, d))), _lines(spark, d, until=False), 25)
 
 
