@@ -125,3 +125,12 @@ def test_published_lists_rest_on_all_lines(spark, sf):
     late = min(everyone - early)
     lists = [tuple(r) for r in serving.ask(spark, sf, "analyst", "customer_recommendations", customer=late).collect()]
     assert lists == [(r.brand, r.score, r.reason, r.rank) for r in sorted(got, key=lambda r: r.rank) if r.customer_id == late] != []
+
+
+def test_timeline_holds_every_day(spark, sf):
+    here = "store_id = 3 and category = 'PROMO'"
+    days = {r.business_date: r for r in stats.inventory_daily(spark, sf).where(here).collect()}
+    lost = {r.business_date: r.lost_units for r in stats.lost_sales(spark, sf).where(here).collect()}
+    got = serving.ask(spark, sf, "planner", "explorer_timeline").collect()
+    assert [tuple(r) for r in got] == [(d, r.opening, r.closing, r.units, r.gap, lost.get(d)) for d, r in sorted(days.items())]
+    assert got[0].business_date < date(2001, 1, 1)
