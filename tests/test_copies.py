@@ -3,7 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidemill.functions.keys import norm_key, packed_order
-from tidemill.operators.copies import copy_accounting, first_copies, keep_one, surplus_copies
+from tidemill.operators.copies import copy_accounting, first_copies, keep_one, surplus_accounting, surplus_copies
 
 T = [datetime(2025, 1, d) for d in range(1, 9)]
 SCHEMA = "row_id bigint, k string, ts timestamp_ntz, key string, copies int, body string"
@@ -66,3 +66,18 @@ def test_accounting_adds_up(spark):
     df = frame(spark, [(1, "a", T[0], "x", 1, ""), (2, "a", T[1], "x", 1, ""), (3, None, T[1], "x", 1, ""), (4, "a", T[1], "y", 1, "")])
     got = {r.group: (r.rows, r.messages, r.surplus) for r in copy_accounting(df, F.col("k"), "ts", "row_id", F.col("key")).collect()}
     assert got == {"x": (3, 2, 1), "y": (1, 1, 0)}
+
+
+def test_surplus_counts_across_groups(spark):
+    rows = [(1, "a", T[2], "x", 1, ""), (2, " A", T[1], "y", 1, ""), (3, "a", T[3], "x", 1, ""), (4, "b", T[0], "x", 1, ""), (5, "b", T[0], None, 1, ""), (6, None, T[0], "x", 1, ""), (7, None, T[0], "x", 1, "")]
+    df, key = frame(spark, rows), norm_key(F.col("k"))
+    got = {tuple(r) for r in surplus_accounting(df, key, "ts", "row_id", F.col("key")).collect()}
+    assert got == {("x", 5, 3, 2), ("y", 1, 1, 0), (None, 1, 0, 1)}
+    assert sum(r[3] for r in got) == surplus_copies(df, key, "ts", "row_id").count()
+
+
+def test_payments_accounting_is_whole(spark, sf):
+    from tidemill.plans import quality
+
+    per_batch = quality.QUERIES["p1_surplus_per_batch"](spark, sf).agg(F.sum("surplus")).first()[0]
+    assert per_batch == quality.QUERIES["p1_found"](spark, sf).where("table_name = 'brz_payments'").count() > quality.QUERIES["p1_copies_per_batch"](spark, sf).agg(F.sum("surplus")).first()[0]

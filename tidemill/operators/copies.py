@@ -46,10 +46,22 @@ def keep_one(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
 
 
 def copy_accounting(df: DataFrame, key: Column, ts: str, row_id: str, by: Column) -> DataFrame:
-    """Per group `by` of the kept copy's rows: rows, messages and surplus copies (group, rows, messages, surplus)."""
+    """Per group `by`: rows, messages and surplus copies (group, rows, messages, surplus), each group on its own; across groups see surplus_accounting."""
     grouped = df.select(by.alias("group"), key.alias("key"))
     per_key = grouped.where(F.col("key").isNotNull()).groupBy("group", "key").agg(F.count("*").alias("n"))
     anonymous = grouped.where(F.col("key").isNull()).groupBy("group").agg(F.count("*").alias("rows"), F.count("*").alias("messages"))
     named = per_key.groupBy("group").agg(F.sum("n").alias("rows"), F.count("*").alias("messages"))
     both = named.unionByName(anonymous).groupBy("group").agg(F.sum("rows").alias("rows"), F.sum("messages").alias("messages"))
     return both.select("group", "rows", "messages", (F.col("rows") - F.col("messages")).alias("surplus"))
+
+
+def surplus_accounting(df: DataFrame, key: Column, ts: str, row_id: str, by: Column) -> DataFrame:
+    """Per group `by`: its rows, the messages whose kept copy it holds and its surplus copies (group, rows, messages, surplus).
+
+    Copies count within and across groups: a message delivered again in a later group is surplus there. Joined on the
+    unique row id, as in surplus_copies.
+    """
+    surplus = surplus_copies(df, key, ts, row_id).withColumn("__s", F.lit(1))
+    rows = df.select(by.alias("group"), F.col(f"`{row_id}`").cast("bigint").alias("row_id")).join(surplus, "row_id", "left")
+    both = rows.groupBy("group").agg(F.count("*").alias("rows"), F.count("__s").alias("surplus"))
+    return both.select("group", "rows", (F.col("rows") - F.col("surplus")).alias("messages"), "surplus")

@@ -78,6 +78,14 @@ def p1_copies_per_batch(spark: SparkSession, d: str) -> DataFrame:
     return copies.copy_accounting(table(spark, d, "brz_payments"), payment_key(), "_ingestion_ts", "row_id", F.col("_bronze_batch_id")).withColumnRenamed("group", "batch")
 
 
+@query(f"""
+    select _bronze_batch_id as batch, cast(count(*) as bigint) as rows, cast(count(*) filter (where k is null or n = 1) as bigint) as messages, cast(count(*) filter (where k is not null and n > 1) as bigint) as surplus
+    from (select _bronze_batch_id, {_PAYMENT_KEY} as k, row_number() over (partition by {_PAYMENT_KEY} order by _ingestion_ts nulls last, row_id) as n from brz_payments) group by 1""")
+def p1_surplus_per_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, kept messages and surplus copies of each batch of brz_payments, copies within and across batches."""
+    return copies.surplus_accounting(table(spark, d, "brz_payments"), payment_key(), "_ingestion_ts", "row_id", F.col("_bronze_batch_id")).withColumnRenamed("group", "batch")
+
+
 # --- 2: rolling totals over trailing periods ------------------------------------------------------------------------
 
 _PREDICTION_KEY = "upper(trim(store_id)) as s, upper(trim(category_id)) as c"
