@@ -43,3 +43,24 @@ def test_wrong_averages(spark):
     got = {(r.s, r.o, r.claimed, r.recomputed) for r in check_moving_average(df, ["s"], "f", "o", "actual", "claimed").collect()}
     assert got == {("s", day(2), 2.0, 3.0), ("t", day(1), 1.0, 0.0)}
     assert check_moving_average(df.limit(0), ["s"], "f", "o", "actual", "claimed").count() == 0
+
+
+def test_every_delivery_measure_is_rolled(spark, sf):
+    from tidemill.plans import quality
+    from tidemill.sources.tables import table
+
+    measures = ("deliveries", "delivered", "failed", "cancelled_in_transit", "active_partners")
+    days = {}
+    for r in table(spark, sf, "gld_delivery_metrics").where("store_id is not null and business_date is not null").collect():
+        at = days.setdefault((r.store_id.strip(" ").upper(), r.business_date), [None] * len(measures))
+        for i, m in enumerate(measures):
+            at[i] = r[m] if at[i] is None or (r[m] is not None and r[m] > at[i]) else at[i]
+    got = quality.QUERIES["p2_rolling_delivery_measures"](spark, sf).collect()
+    dates = sorted({d for _, d in days})
+    assert len(got) == len({s for s, _ in days}) * ((dates[-1] - dates[0]).days + 1)
+    for r in got[::7]:
+        for p in (7, 30):
+            past = [days.get((r.store_id, r.business_date - timedelta(days=i)), [0] * len(measures)) for i in range(p)]
+            for i, m in enumerate(measures):
+                total = sum(v[i] or 0 for v in past)
+                assert r[f"{m}_sum_{p}"] == total and abs(r[f"{m}_avg_{p}"] - total / p) < 1e-6

@@ -151,6 +151,30 @@ def p2_rolling_deliveries(spark: SparkSession, d: str) -> DataFrame:
     return _whole_calendar(daily, {"deliveries": "deliveries"}, "bigint")
 
 
+#: The columns of gld_delivery_metrics that add up over days (active_partners to partner days). Rates, means and percentiles do not.
+_DELIVERY_MEASURES = ("deliveries", "delivered", "failed", "cancelled_in_transit", "active_partners")
+
+
+def _delivery_measures_sql() -> str:
+    over = "over (partition by store_id order by business_date rows between {} preceding and current row)"
+    sums = ", ".join(f"cast(sum(coalesce({m}, 0)) {over.format(p - 1)} as bigint) as {m}_sum_{p}" for m in _DELIVERY_MEASURES for p in (7, 30))
+    avgs = ", ".join(f"round(cast({m}_sum_{p} as double) / {p}, 6) as {m}_avg_{p}" for m in _DELIVERY_MEASURES for p in (7, 30))
+    return f"""
+    with daily as (select upper(trim(store_id)) as store_id, business_date, {", ".join(f"max({m}) as {m}" for m in _DELIVERY_MEASURES)} from gld_delivery_metrics where store_id is not null and business_date is not null group by 1, 2),
+    days as (select cast(unnest(generate_series(min(business_date), max(business_date), interval 1 day)) as date) as business_date from daily),
+    grid as (select s.store_id, d.business_date, {", ".join(_DELIVERY_MEASURES)} from (select distinct store_id from daily) s cross join days d left join daily x on x.store_id = s.store_id and x.business_date = d.business_date),
+    w as (select store_id, business_date, {sums} from grid)
+    select *, {avgs} from w"""
+
+
+@query(_delivery_measures_sql())
+def p2_rolling_delivery_measures(spark: SparkSession, d: str) -> DataFrame:
+    """All additive delivery measures over the trailing 7 and 30 days per store and calendar day; repeated rows of a store-day count once."""
+    rows = table(spark, d, "gld_delivery_metrics").select(norm_key(F.col("store_id")).alias("store_id"), "business_date", *_DELIVERY_MEASURES).where("store_id is not null and business_date is not null")
+    daily = rolling.daily_values(rows, ["store_id"], "business_date", {m: F.max(m) for m in _DELIVERY_MEASURES})
+    return _whole_calendar(daily, {m: m for m in _DELIVERY_MEASURES}, "bigint")
+
+
 def _whole_calendar(daily: DataFrame, values: dict[str, str], kind: str) -> DataFrame:
     """rolling_totals with every store's calendar running from the first to the last day of the table (a one-row aggregate)."""
     bounds = daily.agg(F.min("business_date").alias("__from"), F.max("business_date").alias("__to"))
