@@ -90,6 +90,36 @@ def recursive(f: Forecaster, history: DataFrame, keys: Sequence[str], day: str,
     return out
 
 
+def backtest(f: Forecaster, history: DataFrame, keys: Sequence[str], day: str, units: str, promo: str, first: str, horizons: int = 7) -> DataFrame:
+    """Recursive forecasts as made on the eve of every day from `first` (yyyy-MM-dd) on, for `horizons` days or up to the last day of `history`.
+
+    keys, origin, day, horizon, units (what came), forecast, lower, upper. The origin is one more key of the series:
+    each origin has its own copy of the 15 days that matter, and every step forecasts one horizon of all origins at
+    once. Of the days after an origin only the planned `promo` is seen. `history` is a gap-free daily grid.
+    """
+    last = history.agg(F.max(day)).first()[0]
+    if last is None:
+        raise ValueError("an empty history has no day to forecast from")
+    d, low, high = F.col(day), F.date_sub(F.lit(first).cast("date"), 1), F.date_sub(F.lit(last), 1)
+    series = [*keys, "origin"]
+
+    def copies(start: Column, end: Column, value: Column) -> DataFrame:
+        spans = history.select(*keys, day, value.cast("double").alias(units), F.col(promo).cast("boolean").alias(promo), F.greatest(start, low).alias("__a"), F.least(end, high).alias("__b")).where("__a <= __b")
+        return spans.select(*keys, F.explode(F.sequence("__a", "__b", F.expr("interval 1 day"))).alias("origin"), day, units, promo)
+
+    recent = written(copies(d, F.date_add(d, 14), F.col(units)), "recent")
+    ahead = written(copies(F.date_sub(d, horizons), F.date_sub(d, 1), F.lit(None)), "ahead")
+    out = None
+    for h in range(1, horizons + 1):
+        here = F.datediff(day, "origin") == h
+        x = features(recent.unionByName(ahead.where(here)), series, day, units, promo).where(here)
+        # Written, as in `recursive`.
+        step = written(f.predict(x).select(*series, day, F.lit(h).alias("horizon"), "forecast", "lower", "upper"), "step")
+        out = step if out is None else out.unionByName(step)
+        recent = recent.unionByName(step.select(*series, day, F.col("forecast").alias(units), F.lit(False).alias(promo)))
+    return out.join(history.select(*keys, day, units), [*keys, day]).select(*series, day, "horizon", units, "forecast", "lower", "upper")
+
+
 def permutation_importance(f: Forecaster, x: DataFrame, units: str, seed: int = 1) -> list[tuple[str, float]]:
     """(feature, rise of the mean absolute error when it is shuffled), highest first.
 

@@ -61,12 +61,13 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def demand_forecast_backtest(spark: SparkSession, d: str) -> DataFrame:
-    """One-day-ahead Poisson forecasts of the last 200 days, trained on all days before, with quality per category."""
-    x = forecast.features(_grid(spark, d), _KEYS, "business_date", "units", "promo_active")
+    """Poisson forecasts one to seven days ahead from every day since 2001, trained on all days before, with quality per category and horizon."""
+    g = _grid(spark, d)
+    x = forecast.features(g, _KEYS, "business_date", "units", "promo_active")
     model = forecast.fit(x.where("business_date < date'2001-01-01'"), "units")
-    y = model.predict(x.where("business_date >= date'2001-01-01'"))
+    y = forecast.backtest(model, g, _KEYS, "business_date", "units", "promo_active", "2001-01-01")
     e = F.col("forecast") - F.col("units")
-    return y.groupBy("category").agg(F.count("*").alias("n"), F.round(F.sum(F.abs(e)) / F.sum("units"), 4).alias("wape"), F.round(F.sum(e) / F.sum("units"), 4).alias("bias"), F.round(F.avg((F.col("units").between(F.col("lower"), F.col("upper"))).cast("int")), 4).alias("coverage"))
+    return y.groupBy("category", "horizon").agg(F.count("*").alias("n"), F.round(F.sum(F.abs(e)) / F.sum("units"), 4).alias("wape"), F.round(F.sum(e) / F.sum("units"), 4).alias("bias"), F.round(F.avg((F.col("units").between(F.col("lower"), F.col("upper"))).cast("int")), 4).alias("coverage"))
 
 
 @query()
