@@ -1,14 +1,13 @@
 """Long exact spans shared between records.
 
-Method: relative Lempel-Ziv parsing. Documents are factored against indexed reference blocks; a factor is a maximal
-stretch found verbatim in the reference, and factors of at least MIN_LENGTH characters, checked beyond their ends, are
-shared spans. Parsing every document against every block would be quadratic, so blocks are addressed by content:
+Method: anchor seeds with extension, in place of a relative Lempel-Ziv parse (nothing is factored greedily and no reference
+is indexed). Every document against every other would be quadratic, so only passages with an equal anchor meet:
 
 1. Anchors. Of every MIN_LENGTH characters at least one window of WINDOW characters is chosen by its hash alone
    (the smallest of STRIDE neighbours). Equal stretches of that length thus choose equal windows.
 2. Blocks. The reference block of an anchor is every passage (window and surroundings) in which it is chosen; anchors
    of a single document have no reference and drop out, in a hash aggregation of 8-byte hashes.
-3. Parsing. Each passage is factored against the distinct passages of its block, forward and backward from the anchor.
+3. Extension. Every two distinct passages of a block are extended from the anchor by common prefix and suffix.
    The passage reaches as far as any span of MIN_LENGTH around its window can.
 
 A block with over BLOCK_ROWS passages (a standing text of nearly MIN_LENGTH characters) is never held by one task: its
@@ -170,7 +169,7 @@ def _common(a: str, b: str) -> int:
 
 
 def _parse(members: list[tuple]) -> Iterator[tuple]:
-    """Factors (doc_a, doc_b, start_a, start_b, length) of one block's passages (doc, pos, lead, passage) against each other."""
+    """Common stretches (doc_a, doc_b, start_a, start_b, length) of one block's passages (doc, pos, lead, passage) against each other."""
     reference: dict[tuple[int, str], list[tuple]] = {}
     for doc, pos, lead, passage in members:
         reference.setdefault((lead, passage), []).append((doc, pos))
