@@ -1,8 +1,8 @@
 """Column-level data quality profile of the loads of a table.
 
-Method: the values of all columns are unpivoted, equal ones combined, and range-sorted by column and value. Every
-partition then holds one stretch of the sorted values: runs of equal values give exact distincts and top frequencies,
-counts per partition prefixed over the partitions give exact ranks (quantiles), and the differences of two loads'
+Method: the values of all columns are unpivoted, equal ones combined by hash aggregation, and range-sorted by column and
+value. Distincts and top frequencies rest on the hash aggregation alone. Every partition holds one stretch of the sorted
+values: counts per partition prefixed over the partitions give exact ranks (quantiles), and the differences of two loads'
 cumulative curves, merged over the partitions, give exact Kolmogorov-Smirnov distances.
 """
 
@@ -79,7 +79,7 @@ def range_sorted(counts: DataFrame, *within: str) -> DataFrame:
 
 
 def run_totals(df: DataFrame, load: str, columns: Sequence[Profiled]) -> DataFrame:
-    """Per load and column, from the runs of the range-sorted values, summed over the partitions.
+    """Per load and column, from the combined values (unique per load and column; their order does not matter here).
 
     distinct, top (the highest frequency), low/high (extremes as text), odd (values that do not match the pattern or
     are outside the range), inside and inside_sum (values in the range).
