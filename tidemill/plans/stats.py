@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemill.functions.expressions import poisson_low, poisson_tail, ratio
+from tidemill.functions.expressions import count_low, count_tail, poisson_low, poisson_tail, ratio
 from tidemill.operators import recommend
-from tidemill.plans.marts import CATEGORY_SQL, daily_category_sales
+from tidemill.plans.marts import CATEGORY_SQL, daily_category_sales, global_rank
 from tidemill.plans.registry import Registry
 from tidemill.plans.star import STAR_SQL, Star, trailing
 from tidemill.sources.tables import table
@@ -58,24 +58,29 @@ def estimate_lost(daily: DataFrame, keys: list[str], units: str, out: str, histo
     sold = F.when(~F.col(out), F.col(units))
     df = daily.withColumns({"__n": F.count(sold).over(w), "__s": F.sum(sold).over(w)})
     df = df.where(F.col(out) & (F.col("__n") >= least)).withColumn("__e", F.col("__s") / F.col("__n"))
-    return df.withColumns({"expected_units": F.round("__e", 3), "lost_units": F.round(F.greatest(F.col("__e") - F.col(units), F.lit(0.0)), 3)}).drop("__n", "__s", "__e")
+    exact = lambda c: F.round(c, 3).cast("decimal(18,3)")  # noqa: E731  decimals, so that totals do not depend on the order of adding
+    return df.withColumns({"expected_units": exact(F.col("__e")), "lost_units": exact(F.greatest(F.col("__e") - F.col(units), F.lit(0.0)))}).drop("__n", "__s", "__e")
 
 
 @query(f"""with {STAR_SQL}, {CATEGORY_SQL}, {INVENTORY_SQL},
     h as (select *, count(case when not is_stockout then units end) over w as n, sum(case when not is_stockout then units end) over w as s from inventory_daily window w as (partition by store_id, category order by business_date rows between 28 preceding and 1 preceding))
-    select store_id, category, business_date, units, round(s / n, 3) as expected_units, round(greatest(s / n - units, 0), 3) as lost_units from h where is_stockout and n >= 7""")
+    select store_id, category, business_date, units, cast(round(s / n, 3) as decimal(18,3)) as expected_units, cast(round(greatest(s / n - units, 0), 3) as decimal(18,3)) as lost_units from h where is_stockout and n >= 7""")
 def lost_sales(spark: SparkSession, d: str) -> DataFrame:
     """What would have sold on days out of stock."""
     x = estimate_lost(inventory_daily(spark, d), ["store_id", "category"], "units", "is_stockout")
     return x.select("store_id", "category", "business_date", "units", "expected_units", "lost_units")
 
 
+_SERIES = "over (partition by store_id, category order by business_date)"
+_HORIZONS_SQL = " union all ".join(
+    f"select store_id, category, business_date as origin_date, cast({h} as int) as horizon, business_date + {h} as forecast_date, naive_{h} as seasonal_naive, round(moving_avg, 6) as moving_avg, actual_{h} as actual_units from b" for h in range(1, 8)
+)
+
+
 @query(f"""with {STAR_SQL}, {CATEGORY_SQL},
-    b as (select store_id, category, business_date as origin_date, units, sum(units) over (partition by store_id, category order by business_date rows between 6 preceding and current row) / 7.0 as moving_avg from daily_category_sales),
-    h as (select store_id, category, origin_date, cast(unnest(range(1, 8)) as int) as horizon, moving_avg from b)
-    select h.store_id, h.category, origin_date, horizon, origin_date + horizon as forecast_date, n.units as seasonal_naive, round(moving_avg, 6) as moving_avg, a.units as actual_units
-    from h join daily_category_sales n on n.store_id = h.store_id and n.category = h.category and n.business_date = origin_date + horizon - 7 join daily_category_sales a on a.store_id = h.store_id and a.category = h.category and a.business_date = origin_date + horizon
-    where origin_date >= date '2001-01-01'""")
+    b as (select store_id, category, business_date, sum(units) over (partition by store_id, category order by business_date rows between 6 preceding and current row) / 7.0 as moving_avg,
+      {", ".join(f"lag(units, {7 - h}) {_SERIES} as naive_{h}, lead(units, {h}) {_SERIES} as actual_{h}" for h in range(1, 8))} from daily_category_sales)
+    select * from ({_HORIZONS_SQL}) where origin_date >= date '2001-01-01' and seasonal_naive is not null and actual_units is not null""")
 def baseline_forecasts(spark: SparkSession, d: str) -> DataFrame:
     """Seasonal-naive and moving-average forecasts for seven horizons from every origin of the test year; no joins, only windows."""
     w = trailing("store_id", "category")
@@ -140,11 +145,8 @@ def hourly_baseline(spark: SparkSession, d: str) -> DataFrame:
     select event_type, day, start_ts, hours, observed, expected, p from (select *, row_number() over (partition by event_type, day order by p, start_ts, hours) as r from p) where r = 1 and p < 0.05""")
 def outage_windows_poisson(spark: SparkSession, d: str) -> DataFrame:
     """Per event type and day the least likely quiet window of 2 to 8 hours, by the lower Poisson tail."""
-    x = hourly_baseline(spark, d).where("days >= 3").withColumn("day", F.to_date("h"))
-    w = W.partitionBy("event_type", "day").orderBy("h")
-    ahead = [F.struct(F.lit(k).alias("hours"), F.sum("n").over(w.rowsBetween(0, k - 1)).alias("observed"), F.round(F.sum("expected").over(w.rowsBetween(0, k - 1)), 9).alias("expected"), F.count("*").over(w.rowsBetween(0, k - 1)).alias("whole")) for k in range(2, 9)]
-    wins = x.select("event_type", "day", F.col("h").alias("start_ts"), F.array(*ahead).alias("e")).select("event_type", "day", "start_ts", F.explode("e").alias("e")).select("event_type", "day", "start_ts", "e.*").where("whole = hours and expected >= 2")
-    p = wins.withColumn("p", F.round(poisson_low(F.col("observed"), F.col("expected")), 9)).drop("whole")
+    wins = _windows(hourly_baseline(spark, d).where("days >= 3").withColumn("day", F.to_date("h")), 2.0)
+    p = wins.withColumn("p", F.round(poisson_low(F.col("observed"), F.col("expected")), 9))
     best = W.partitionBy("event_type", "day").orderBy("p", "start_ts", "hours")
     return p.withColumn("r", F.row_number().over(best)).where("r = 1 and p < 0.05").drop("r").withColumn("start_ts", F.col("start_ts").cast("timestamp_ntz"))
 
@@ -191,6 +193,117 @@ def nb_alpha(spark: SparkSession, d: str) -> DataFrame:
     return hourly_baseline(spark, d).where("days >= 3").groupBy("event_type").agg(F.round(F.greatest(F.sum((n - e) * (n - e) - n) / F.sum(e * e), F.lit(0.0)), 9).alias("alpha"))
 
 
+# The negative binomial tails by their definition, term by term: r = 1 / alpha, p = r / (r + mu).
+_NB_TERM = "exp(lgamma(i + 1 / {a}) - lgamma(i + 1) - lgamma(1 / {a}) + ln(1 / (1 + {a} * {mu})) / {a} + i * ln({a} * {mu} / (1 + {a} * {mu})))"
+_NB_LOW_SQL = "case when {a} <= 1e-6 then " + _LOW_SQL + " else list_sum(list_transform(range(0, cast({k} as int) + 1), lambda i: " + _NB_TERM + ")) end"
+_NB_UP_SQL = "case when {a} <= 1e-6 then " + _UP_SQL + " else greatest(0, 1 - coalesce(list_sum(list_transform(range(0, cast({k} as int)), lambda i: " + _NB_TERM + ")), 0)) end"
+_ALPHA_SQL = "coalesce(greatest(sum((n - expected) * (n - expected) - n) / nullif(sum(expected * expected), 0), 0), 0)"
+
+
+def dispersion(df: DataFrame, n: str, expected: str, by: list[str]) -> DataFrame:
+    """(*by, alpha): over-dispersion of counts against what was expected, by the method of moments, at least 0; one row without `by`."""
+    e, x = F.col(expected), F.col(n)
+    alpha = F.coalesce(F.greatest(F.try_divide(F.sum((x - e) * (x - e) - x), F.sum(e * e)), F.lit(0.0)), F.lit(0.0))
+    return df.groupBy(*by).agg(alpha.alias("alpha"))
+
+
+@query(f"""with {_HOURS_SQL}, a as (select event_type, {_ALPHA_SQL} as alpha from hourly where days >= 3 group by 1),
+    c as (select event_type, cast(h as date) as day, h, days, sum(n) over w as cn, sum(expected) over w as ce, n, expected from hourly where days >= 3 and hour(h) between 6 and 23 window w as (partition by event_type, cast(h as date) order by h)),
+    wins as (select a.event_type, a.day, a.h as start_ts, cast(date_diff('hour', a.h, b.h) + 1 as int) as hours, cast(b.cn - a.cn + a.n as bigint) as observed, round(b.ce - a.ce + a.expected, 9) as expected from c a join c b on b.event_type = a.event_type and b.day = a.day and b.h >= a.h + interval 1 hour and b.h <= a.h + interval 7 hour),
+    p as (select wins.*, alpha, round({_NB_LOW_SQL.format(k="observed", mu="expected", a="alpha")}, 9) as p from wins join a using (event_type) where expected >= 6)
+    select event_type, day, start_ts, hours, observed, expected, round(alpha, 9) as alpha, p from (select *, row_number() over (partition by event_type, day order by p, start_ts, hours) as r from p) where r = 1 and p < 0.01""")
+def outage_windows_nb(spark: SparkSession, d: str) -> DataFrame:
+    """Per event type and day the least likely quiet window of 2 to 8 open hours (6 to 23), by the lower negative binomial tail."""
+    hours = hourly_baseline(spark, d).where("days >= 3")
+    alpha = dispersion(hours, "n", "expected", ["event_type"])
+    x = hours.where(F.hour("h").between(6, 23)).withColumn("day", F.to_date("h"))
+    wins = _windows(x, 6.0).join(F.broadcast(alpha), "event_type")  # one row per event type
+    p = wins.withColumn("p", F.round(count_low(F.col("observed"), F.col("expected"), F.col("alpha")), 9)).withColumn("alpha", F.round("alpha", 9))
+    best = W.partitionBy("event_type", "day").orderBy("p", "start_ts", "hours")
+    return p.withColumn("r", F.row_number().over(best)).where("r = 1 and p < 0.01").drop("r").withColumn("start_ts", F.col("start_ts").cast("timestamp_ntz"))
+
+
+def _windows(x: DataFrame, least: float) -> DataFrame:
+    """Every window of 2 to 8 hours of one day with at least `least` events expected: (event_type, day, start_ts, hours, observed, expected)."""
+    w = W.partitionBy("event_type", "day").orderBy("h")
+    span = lambda k: w.rowsBetween(0, k - 1)
+    ahead = [F.struct(F.lit(k).alias("hours"), F.sum("n").over(span(k)).alias("observed"), F.round(F.sum("expected").over(span(k)), 9).alias("expected"), F.count("*").over(span(k)).alias("whole")) for k in range(2, 9)]
+    each = x.select("event_type", "day", F.col("h").alias("start_ts"), F.array(*ahead).alias("e")).select("event_type", "day", "start_ts", F.explode("e").alias("e")).select("event_type", "day", "start_ts", "e.*")
+    return each.where((F.col("whole") == F.col("hours")) & (F.col("expected") >= least)).drop("whole")
+
+
+_SPIKES_SQL = f"""
+    t as (select *, sum(units) over (partition by store_id, business_date) as store_units from daily_category_sales),
+    e as (select *, greatest(coalesce(sum(units) over w / nullif(sum(store_units) over w, 0) * store_units, 0), 0.05) as expected, row_number() over (partition by store_id, category order by business_date) as r from t window w as (partition by store_id, category order by business_date rows between 28 preceding and 1 preceding)),
+    cells as (select store_id, category, business_date, units as n, round(expected, 9) as expected from e where r > 28),
+    alpha as (select {_ALPHA_SQL} as alpha from cells),
+    spiked as (select store_id, category, business_date, n, expected, round({_NB_UP_SQL.format(k="n", mu="expected", a="alpha")}, 12) as p from cells, alpha where n >= 4 and n > 3 * expected),
+    runs as (select *, date_diff('day', date '1990-01-01', business_date) - row_number() over (partition by store_id, category order by business_date) as run from spiked where p < 0.001),
+    spikes as (select store_id, category, min(business_date) as start_date, max(business_date) as end_date, cast(sum(n) as bigint) as observed, round(sum(expected), 6) as expected, min(p) as p from runs group by store_id, category, run)"""
+_SEVERITY_SQL = "round(least(-log10(greatest(p, 1e-20)), 20), 4) as score, case when least(-log10(greatest(p, 1e-20)), 20) >= 8 then 'High' else 'Medium' end as severity"
+
+
+@query(f"""with {STAR_SQL}, {CATEGORY_SQL}, {_SPIKES_SQL}
+    select 'spike-' || lpad(cast(row_number() over (order by start_date, store_id, category) as varchar), 5, '0') as anomaly_id, *, {_SEVERITY_SQL} from spikes""")
+def demand_spikes_nb(spark: SparkSession, d: str) -> DataFrame:
+    """Days on which a category's part of its store's sales is improbably large (upper negative binomial tail), consecutive days merged, with id, score and severity."""
+    return numbered(spikes(spark, d), "spike", ["start_date", "store_id", "category"])
+
+
+def spikes(spark: SparkSession, d: str) -> DataFrame:
+    t = daily_category_sales(spark, d).select("store_id", "category", "business_date", "units", F.sum("units").over(W.partitionBy("store_id", "business_date")).alias("store_units"))
+    w = trailing("store_id", "category")
+    past = w.rowsBetween(-28, -1)
+    expected = F.greatest(F.coalesce(F.try_divide(F.sum("units").over(past), F.sum("store_units").over(past)) * F.col("store_units"), F.lit(0.0)), F.lit(0.05))
+    cells = t.select("store_id", "category", "business_date", F.col("units").alias("n"), F.round(expected, 9).alias("expected"), F.row_number().over(w).alias("r")).where("r > 28").drop("r")
+    alpha = F.broadcast(dispersion(cells, "n", "expected", []))  # one row
+    p = F.round(count_tail(F.col("n"), F.col("expected"), F.col("alpha")), 12)
+    hits = cells.where("n >= 4 and n > 3 * expected").join(alpha).withColumn("p", p).where("p < 0.001")
+    return merged_runs(hits, ["store_id", "category"], F.datediff("business_date", F.lit("1990-01-01").cast("date")), [F.min("business_date").alias("start_date"), F.max("business_date").alias("end_date"), F.sum("n").alias("observed"), F.round(F.sum("expected"), 6).alias("expected"), F.min("p").alias("p")])
+
+
+def numbered(found: DataFrame, kind: str, order: list[str]) -> DataFrame:
+    """Anomalies with id (kind and rank by `order`), score (-log10 p, at most 20) and severity (High from 8 on)."""
+    score = F.least(-F.log10(F.greatest("p", F.lit(1e-20))), F.lit(20.0))
+    ranked = global_rank(found, order).withColumn("anomaly_id", F.concat(F.lit(f"{kind}-"), F.lpad(F.col("rank").cast("string"), 5, "0")))
+    return ranked.drop("rank", "rows").withColumns({"score": F.round(score, 4), "severity": F.when(score >= 8, "High").otherwise("Medium")})
+
+
+@query(f"""with {STAR_SQL}, {CATEGORY_SQL}, {_SPIKES_SQL}, ids as (select 'spike-' || lpad(cast(row_number() over (order by start_date, store_id, category) as varchar), 5, '0') as anomaly_id, * from spikes)
+    select anomaly_id, c.business_date as day, n as observed, round(c.expected, 6) as expected, c.business_date between start_date and end_date as inside from ids join cells c using (store_id, category) where c.business_date between start_date - 14 and end_date + 14""")
+def anomaly_series(spark: SparkSession, d: str) -> DataFrame:
+    """The days around each spike, 14 to either side, with what was expected: an interval join by exploded days."""
+    found = demand_spikes_nb(spark, d).select("anomaly_id", "store_id", "category", "start_date", "end_date")
+    days = found.select("*", F.explode(F.sequence(F.date_sub("start_date", 14), F.date_add("end_date", 14), F.expr("interval 1 day"))).alias("day"))
+    t = daily_category_sales(spark, d).select("store_id", "category", F.col("business_date").alias("day"), "units", F.sum("units").over(W.partitionBy("store_id", "business_date")).alias("store_units"))
+    w = W.partitionBy("store_id", "category").orderBy("day")
+    past = w.rowsBetween(-28, -1)
+    expected = F.greatest(F.coalesce(F.try_divide(F.sum("units").over(past), F.sum("store_units").over(past)) * F.col("store_units"), F.lit(0.0)), F.lit(0.05))
+    cells = t.select("store_id", "category", "day", F.col("units").alias("observed"), F.round(F.round(expected, 9), 6).alias("expected"), F.row_number().over(w).alias("r")).where("r > 28")
+    return days.join(cells, ["store_id", "category", "day"]).select("anomaly_id", "day", "observed", "expected", F.col("day").between(F.col("start_date"), F.col("end_date")).alias("inside"))
+
+
+# Trailing and leading windows over rows of a gap-free grid.
+@query(f"""with {STAR_SQL}, {CATEGORY_SQL} select store_id, category, business_date, round(case when count(units) over w >= 7 then stddev_samp(units) over w end, 6) as std_28,
+      max(units) over (partition by store_id, category order by business_date rows between 1 following and 3 following) as most_next_3 from daily_category_sales window w as (partition by store_id, category order by business_date rows between 27 preceding and current row)""")
+def spread_and_outlook(spark: SparkSession, d: str) -> DataFrame:
+    """Deviation of the last 28 days including today (from 7 days on), and the highest of the next three days."""
+    w = trailing("store_id", "category")
+    month = w.rowsBetween(-27, 0)
+    std = F.when(F.count("units").over(month) >= 7, F.stddev_samp("units").over(month))
+    return daily_category_sales(spark, d).select("store_id", "category", "business_date", F.round(std, 6).alias("std_28"), F.max("units").over(w.rowsBetween(1, 3)).alias("most_next_3"))
+
+
+@query(f"""with {STAR_SQL}, {CATEGORY_SQL}, g as (select *, isodow(business_date) >= 6 as weekend from daily_category_sales)
+    select a.store_id, a.category, a.business_date, cast(count(b.units) as int) as days, round(case when count(b.units) >= 3 then avg(b.units) end, 6) as same_kind_mean from g a left join g b on b.store_id = a.store_id and b.category = a.category and b.weekend = a.weekend and b.business_date between a.business_date - 28 and a.business_date - 1 where a.business_date >= date '2001-01-01' group by 1, 2, 3""")
+def same_day_type_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of the days of the same kind (working day or weekend) in the 28 calendar days before, from three on: a range frame per kind."""
+    g = daily_category_sales(spark, d).select("store_id", "category", "business_date", "units", (F.weekday("business_date") >= 5).alias("weekend"))
+    w = W.partitionBy("store_id", "category", "weekend").orderBy(F.datediff("business_date", F.lit("1970-01-01").cast("date"))).rangeBetween(-28, -1)
+    n = F.count("units").over(w)
+    return g.select("store_id", "category", "business_date", n.cast("int").alias("days"), F.round(F.when(n >= 3, F.avg("units").over(w)), 6).alias("same_kind_mean")).where("business_date >= date'2001-01-01'")
+
+
 # --- recommendations ------------------------------------------------------------------------------------------------
 
 _CUT = "1999-12-31"
