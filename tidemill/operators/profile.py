@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tidemill.scale import map_arrow
+from tidemill.scale import map_arrow, written
 
 
 @dataclass(frozen=True)
@@ -200,9 +200,12 @@ def _cumulate(batches: Iterator) -> Iterator:
 
 
 def _curves(weighted: DataFrame) -> DataFrame:
-    """(c, g, x, s, w) range-sorted, with partition id, local cumulative weight and ends of values."""
+    """(c, g, x, s, w) range-sorted, with partition id, local cumulative weight and ends of values.
+
+    Written, as every use of it must see the same partitions: a range shuffle that ran again would sample other bounds.
+    """
     at = range_sorted(weighted, "c", "g", "x", "s").select(F.spark_partition_id().alias("pid"), "c", "g", "x", "s", F.col("w").cast("double").alias("w"))
-    return map_arrow(at, _cumulate, _CUMULATED)
+    return written(map_arrow(at, _cumulate, _CUMULATED), "curves")
 
 
 def load_quantiles(df: DataFrame, load: str, columns: Sequence[Profiled], at: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:

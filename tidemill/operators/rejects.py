@@ -85,16 +85,18 @@ def rejected_rows(raw: DataFrame, layouts: Mapping[str, list[Cell]], dataset: st
     """(offset, dataset, reason) of every row that is no valid row of its dataset.
 
     A null or empty text is a row of one empty cell (column_count). A row of a dataset without a layout, or of a null
-    dataset, can have no valid form: column_count unless its quoting fails first. Offsets must be unique; rows with a
-    null offset cannot be subtracted and are left out.
+    dataset, can have no valid form: column_count unless its quoting fails first. Rows are subtracted by their offset and a
+    64-bit hash of what they hold, so of two rows with one offset, or a null one, each is judged by its own text.
     """
     loaded = None
     sizes = F.lit(-1)
+    marked = raw.select(offset, dataset, text, F.struct(F.col(offset).alias("o"), F.xxhash64(dataset, text).alias("h")).alias("__id"))
     for name, layout in layouts.items():
-        one = strict_load(raw.where(F.col(dataset) == name), layout, text, offset).select(offset)
+        one = strict_load(marked.where(F.col(dataset) == name), layout, text, "__id").select("__id")
         loaded = one if loaded is None else loaded.unionByName(one)
         sizes = F.when(F.col(dataset) == name, len(layout)).otherwise(sizes)
-    rest = raw.where(F.col(offset).isNotNull()).select(offset, dataset, text)
+    rest = marked
     if loaded is not None:
-        rest = rest.join(loaded, offset, "left_anti")
+        ids = loaded.select(F.col("__id.o").alias("__o"), F.col("__id.h").alias("__h"))
+        rest = rest.join(ids, F.col("__id.o").eqNullSafe(F.col("__o")) & (F.col("__id.h") == F.col("__h")), "left_anti")
     return rest.select(offset, dataset, reason(F.col(text), sizes).alias("reason"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from tidemill.functions.expressions import ratio, week_start
 from tidemill.plans.registry import Registry
 from tidemill.plans.star import STAR_SQL, Star, trailing
+from tidemill.scale import written
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -315,9 +316,13 @@ def retention_status_terciles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
-    """`df` with the 1-based rank by `order` (a total order, ascending) and the number of rows, without sorting in one task."""
+    """`df` with the 1-based rank by `order` (a total order, ascending) and the number of rows, without sorting in one task.
+
+    The range-sorted rows are written once with their partition: two uses of a range shuffle sample their bounds anew, and
+    partition numbers of one would be shifted by sizes of the other.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
+    parts = written(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()), "ranked")
     local = parts.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
     sizes = local.groupBy("__p").agg(F.max("__r").alias("held"))  # one row per partition
     w = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemill.plans.registry import Registry
+from tidemill.scale import written
 from tidemill.sources.tables import table
 
 query = Registry()
@@ -20,7 +21,7 @@ EDGES = (
     ("slv_orders", "slv_order_items"), ("stores", "slv_orders"), ("products", "slv_order_items"), ("slv_orders", "gld_daily_sales"), ("slv_order_items", "gld_daily_sales"), ("brz_payments", "gld_daily_sales"),
     ("slv_order_items", "gld_demand_predictions"), ("gld_daily_sales", "gld_demand_predictions"), ("slv_orders", "gld_quality_summary"), ("slv_order_items", "gld_quality_summary"), ("brz_payments", "gld_quality_summary"),
 )
-_EDGES_SQL = "(values " + ", ".join(f"('{a}', '{b}')" for a, b in EDGES) + ") e(source, target)"
+EDGES_SQL = "(values " + ", ".join(f"('{a}', '{b}')" for a, b in EDGES) + ") e(source, target)"
 
 
 def layer(name):
@@ -33,16 +34,21 @@ def merged_edges(*logs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, logs).groupBy("source", "target").agg(F.max("logged_at").alias("logged_at"))
 
 
-def reachable(edges: DataFrame, source: str = "source", target: str = "target", most: int = 64) -> DataFrame:
-    """(ancestor, descendant, distance) of every pair connected in a directed graph, cycles allowed; semi-naive recursion in SQL.
+def reachable(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """(ancestor, descendant, distance) of every pair connected in a directed graph, whatever the distance; cycles are allowed.
 
-    The recursion is one plan; pairs found before are not extended again because distances are limited to `most`
-    and kept minimal at the end.
+    Breadth first: each round extends only the pairs that the round before found new (anti-join with all seen) and writes
+    them, until nothing is new. A table on a cycle is its own descendant. Null ends make no edge.
     """
-    edges.select(F.col(source).alias("a"), F.col(target).alias("b")).distinct().createOrReplaceTempView("tidemill_edges")
-    return edges.sparkSession.sql(f"""
-        with recursive walk(ancestor, descendant, distance) as (select a, b, 1 from tidemill_edges union all select w.ancestor, e.b, w.distance + 1 from walk w join tidemill_edges e on e.a = w.descendant where w.distance < {most} and e.b <> w.ancestor)
-        select ancestor, descendant, min(distance) as distance from walk group by ancestor, descendant""")
+    e = written(edges.select(F.col(source).alias("ancestor"), F.col(target).alias("descendant")).where("ancestor is not null and descendant is not null").distinct(), "edges")
+    fresh = written(e.select("*", F.lit(1).alias("distance")), "reached")
+    seen, distance = fresh, 1
+    while not fresh.isEmpty():
+        distance += 1
+        onward = fresh.select("ancestor", F.col("descendant").alias("via")).join(e.select(F.col("ancestor").alias("via"), "descendant"), "via").select("ancestor", "descendant").distinct()
+        fresh = written(onward.join(seen, ["ancestor", "descendant"], "left_anti").select("ancestor", "descendant", F.lit(distance).alias("distance")), "reached")
+        seen = seen.unionByName(fresh)
+    return seen
 
 
 def scrubbed(text):
@@ -51,7 +57,7 @@ def scrubbed(text):
     return F.substring(plain, 1, 300)
 
 
-@query(f"""with recursive e as (select * from {_EDGES_SQL}), walk(ancestor, descendant, distance) as (select source, target, 1 from e union all select w.ancestor, e.target, w.distance + 1 from walk w join e on e.source = w.descendant where w.distance < 64)
+@query(f"""with recursive e as (select * from {EDGES_SQL}), walk(ancestor, descendant, distance) as (select source, target, 1 from e union all select w.ancestor, e.target, w.distance + 1 from walk w join e on e.source = w.descendant)
     select ancestor, descendant, cast(min(distance) as int) as distance from walk group by 1, 2""")
 def lineage_reachability(spark: SparkSession, d: str) -> DataFrame:
     """Every table with all it depends on, and how far away."""

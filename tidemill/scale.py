@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import io
-import shutil
 import tempfile
 import uuid
 import zipfile
@@ -20,15 +18,24 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where it is unset (tests, one machine) a temporary one is made."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
+    """This application's folder below spark.checkpoint.dir, which all executors share; removed when the application ends.
+
+    Where the setting is absent a temporary folder stands in, on a local master only: on a cluster every executor would
+    write to its own disk and what is read back would be incomplete.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
     if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="tidemill-")
-        atexit.register(shutil.rmtree, _own[app], True)
-    return f"file://{_own[app]}"
+        configured = sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not (sc.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = configured.rstrip("/") if configured else f"file://{tempfile.gettempdir()}"
+        _own[app] = f"{root}/tidemill-{app}-{uuid.uuid4().hex[:8]}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(_own[app])
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return _own[app]
 
 
 _shipped: set[str] = set()
@@ -65,6 +72,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_salted(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on `key`, any number of rows per key on both sides, without a task that holds a hot key of `left`.
+
+    `left` must be cheap to read twice (a written table). Keys with over 1/HOT_SHARE of its rows, fewer than HOT_SHARE of
+    them, are cut into as many salts as they exceed that share; the rows of `right` with such a key are repeated per salt.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("__n"))
+    total = F.broadcast(left.agg(F.count("*").alias("__all")))  # one row
+    share = F.greatest(F.lit(1000.0), F.col("__all") / HOT_SHARE)
+    hot = F.broadcast(counts.join(total).where(F.col("__n") > share).select(key, F.ceil(F.col("__n") / share).cast("int").alias("__k")))
+    k = F.coalesce("__k", F.lit(1))
+    mine = left.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), k).cast("int"))
+    other = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), k - 1)))
+    return mine.drop("__k").join(other.drop("__k"), [key, "__salt"]).drop("__salt")
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """Inner join of `left` with `right` (one row per key, `n` = how many rows of `left` hold it) without a skewed task.
 
