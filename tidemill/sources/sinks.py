@@ -18,6 +18,31 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _put(fs, source, target) -> None:
+    """Renames or raises: Hadoop reports a refused rename only by what it returns."""
+    if not fs.rename(source, target):
+        raise CommitRefused(f"{source} could not be renamed to {target}")
+
+
+def _swap(spark: SparkSession, fs, staged, path: str) -> None:
+    """Puts a staged folder in the place of `path`, keeping what was there as path_previous; restores it if that fails."""
+    _, target = _fs(spark, path)
+    _, previous = _fs(spark, f"{path}_previous")
+    replaced = fs.exists(target)
+    if replaced:
+        if fs.exists(previous) and not fs.delete(previous, True):
+            raise CommitRefused(f"{path}_previous could not be removed")
+        _put(fs, target, previous)
+    elif not fs.exists(target.getParent()):
+        fs.mkdirs(target.getParent())
+    try:
+        _put(fs, staged, target)
+    except CommitRefused:
+        if replaced:
+            _put(fs, previous, target)
+        raise
+
+
 def commit(df: DataFrame, path: str, append_only: bool = False, sort: Sequence[str] = (), files: int | None = None, partition_by: Sequence[str] = ()) -> int:
     """Writes `df` beside `path`, checks that every row arrived, then renames it into place; returns the rows.
 
@@ -39,13 +64,7 @@ def commit(df: DataFrame, path: str, append_only: bool = False, sort: Sequence[s
     if rows != there:
         fs.delete(staged, True)
         raise CommitRefused(f"{path}: {rows} rows went in, {there} are there")
-    if fs.exists(target):
-        _, previous = _fs(spark, f"{path}_previous")
-        fs.delete(previous, True)
-        fs.rename(target, previous)
-    else:
-        fs.mkdirs(target.getParent())
-    fs.rename(staged, target)
+    _swap(spark, fs, staged, path)
     return there
 
 
@@ -75,12 +94,7 @@ def publish(tables: Mapping[str, DataFrame], path: str, limit_bytes: int = 50_00
     if (size := folder_bytes(spark, staging)) > limit_bytes:
         fs.delete(staged, True)
         raise CommitRefused(f"{path}: {size} bytes exceed {limit_bytes}")
-    _, target = _fs(spark, path)
-    if fs.exists(target):
-        _, previous = _fs(spark, f"{path}_previous")
-        fs.delete(previous, True)
-        fs.rename(target, previous)
-    fs.rename(staged, target)
+    _swap(spark, fs, staged, path)
     return spark.read.parquet(f"{path}/snapshot_schema.parquet")
 
 
