@@ -55,6 +55,15 @@ def segment_profile_labels(spark: SparkSession, d: str) -> DataFrame:
     return segments.profiles(c, "persona", ["balance", "nation"], 0.02).withColumn("balance", F.round("balance", 2))
 
 
+@query()
+def demand_feature_importance(spark: SparkSession, d: str) -> DataFrame:
+    """How much worse the forecasts get when a feature is shuffled, most important first."""
+    x = written(forecast.features(_grid(spark, d), _KEYS, "business_date", "units", "promo_active"), "features")
+    model = forecast.fit(x.where("business_date < date'2001-01-01'"), "units")
+    rows = forecast.permutation_importance(model, x.where("business_date >= date'2001-01-01'"), "units")
+    return spark.createDataFrame([(n, round(v, 6), i) for i, (n, v) in enumerate(rows, 1)], "feature string, importance double, rank int")
+
+
 def _grid(spark: SparkSession, d: str) -> DataFrame:
     return written(daily_category_sales(spark, d).select(*_KEYS, "business_date", F.col("units").cast("double").alias("units"), "promo_active"), "grid")
 

@@ -52,13 +52,27 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     return r.top_answers(s, ["doc_id", "part"]).withColumn("score", F.col("score").cast("decimal(18,4)"))
 
 
+_WANTED = f"select item_id, question_set, list_distinct(flatten([{_tokens('text')}, {_GROUPS}])) as wanted, list_distinct({_tokens('text')}) as own from eval_items"
+#: The best chunk of each question, if its score divided by the root of the question's own words clears the threshold.
+_ANSWERED = f"""{_BM25}, best as (select question_id, max(score) as score from scores group by 1), wanted as ({_WANTED})"""
+
+
+@query(f"""with {_ANSWERED} select question_set, cast(count(*) as bigint) as questions, cast(count(*) filter (score / sqrt(len(own)) >= {r.LEAST_SCORE}) as bigint) as answered, round(avg(score), 4) as mean_score from wanted left join best on best.question_id = item_id group by 1""")
+def assistant_eval_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Per set of questions: how many, how many of them find an answer over the threshold, and the mean best score."""
+    items = table(spark, d, "eval_items")
+    best = r.bm25(_chunks(spark, d), ["doc_id", "part"], "text", items, "item_id", "text").groupBy("question_id").agg(F.max("score").alias("score"))
+    asked = items.select(F.col("item_id").alias("question_id"), "question_set", F.size(F.array_distinct(r.tokens(F.col("text")))).alias("own"))
+    return asked.join(best, "question_id", "left").groupBy("question_set").agg(F.count("*").alias("questions"), F.count_if(F.col("score") / F.sqrt("own") >= r.LEAST_SCORE).alias("answered"), F.round(F.avg("score"), 4).alias("mean_score"))
+
+
 @query()
 def best_passages(spark: SparkSession, d: str) -> DataFrame:
     """For every question the two best sentences of its best chunk, if the score clears the threshold for its length."""
     items, parts = table(spark, d, "eval_items"), _chunks(spark, d)
     best = r.top_answers(r.bm25(parts, ["doc_id", "part"], "text", items, "item_id", "text"), ["doc_id", "part"], 1)
-    asked = items.select(F.col("item_id").alias("question_id"), r.expanded(F.col("text")).alias("wanted"))
-    found = best.join(asked, "question_id").where(F.col("score") / F.sqrt(F.size("wanted")) >= r.LEAST_SCORE).join(parts, ["doc_id", "part"])
+    asked = items.select(F.col("item_id").alias("question_id"), r.expanded(F.col("text")).alias("wanted"), F.size(F.array_distinct(r.tokens(F.col("text")))).alias("own"))
+    found = best.join(asked, "question_id").where(F.col("score") / F.sqrt("own") >= r.LEAST_SCORE).join(parts, ["doc_id", "part"])
     return found.select("question_id", "doc_id", "part", "score", F.array_join(r.best_sentences(F.col("text"), F.col("wanted")), " ").alias("answer"))
 
 
