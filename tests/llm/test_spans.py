@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 
 from tidemill.llm import spans
-from tidemill.llm.spans import MIN_LENGTH, shared_characters, sharing_pairs
+from tidemill.llm.spans import MIN_LENGTH, shared_characters, sharing_classes, sharing_pairs
 
 R = random.Random(11)
 
@@ -46,15 +46,27 @@ def docs():
     return out
 
 
-@pytest.mark.parametrize("block_rows", [64, 3, 0])
-def test_against_brute_force(spark, docs, monkeypatch, block_rows):
-    """Also with nearly all and all blocks split by content."""
-    monkeypatch.setattr(spans, "BLOCK_ROWS", block_rows)
+def test_against_brute_force(spark, docs):
     df = spark.createDataFrame([(i, t, 7, "x") for i, t in docs], "doc_id bigint, text string, pos int, key string").repartition(3)
     pairs, covered = brute(docs)
     assert len(pairs) > 30
-    assert {tuple(r) for r in sharing_pairs(df).collect()} == pairs
+    got = [tuple(r) for r in sharing_pairs(df).collect()]
+    assert set(got) == pairs and len(got) == len(pairs)
     assert {r.doc_id: r.shared_chars for r in shared_characters(df).collect()} == covered
+    links = defaultdict(int)
+    for p in pairs:
+        for i in p:
+            links[i] += 1
+    assert {r.doc_id: r.links for r in sharing_classes(df).collect()} == links
+
+
+def test_hot_standing_texts(spark):
+    """A footer of over 300 characters and one of 250 in all documents: one class of links, no links; both in one block."""
+    long, short = text(320), text(250)
+    docs = [(i, text(20) + chr(97 + i % 20) + long) for i in range(3000)] + [(10_000 + i, chr(97 + i % 20) + text(20) + short + text(5)) for i in range(3000)]
+    docs += [(20_000 + i, "q" * 60 + short + text(10)) for i in range(3)]  # leave the block together and go on for 310 characters
+    got = {r.doc_id: (r.class_id, r.class_size, r.links) for r in sharing_classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {i: (0, 3000, 2999) for i in range(3000)} | {20_000 + i: (20_000, 3, 2) for i in range(3)}
 
 
 def test_texts_longer_than_a_piece(spark, monkeypatch):

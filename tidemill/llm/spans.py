@@ -1,17 +1,21 @@
 """Long exact spans shared between records.
 
-Method: anchor seeds with extension, in place of a relative Lempel-Ziv parse (nothing is factored greedily and no reference
-is indexed). Every document against every other would be quadratic, so only passages with an equal anchor meet:
+Method: relative Lempel-Ziv factoring with a content-addressed reference. Every document against every other would be
+quadratic, so a document meets the reference only where its own content points to it:
 
 1. Anchors. Of every MIN_LENGTH characters at least one window of WINDOW characters is chosen by its hash alone
    (the smallest of STRIDE neighbours). Equal stretches of that length thus choose equal windows.
-2. Blocks. The reference block of an anchor is every passage (window and surroundings) in which it is chosen; anchors
-   of a single document have no reference and drop out, in a hash aggregation of 8-byte hashes.
-3. Extension. Every two distinct passages of a block are extended from the anchor by common prefix and suffix.
-   The passage reaches as far as any span of MIN_LENGTH around its window can.
-
-A block with over BLOCK_ROWS passages (a standing text of nearly MIN_LENGTH characters) is never held by one task: its
-passages are cut into all spans of exactly MIN_LENGTH characters around the anchor and equal ones meet by hash.
+2. Reference. The block of an anchor that several documents chose is the passage around its first occurrence; the hash of
+   the anchor is its index. An anchor of one document only has no reference and drops out, in a hash aggregation.
+3. Factoring. Each passage of each document is factored against the block of its anchor: from the anchor the match is
+   extended greedily in both directions, as text. What has no anchor in common with the reference is literal.
+4. Factor boundaries. A factor of MIN_LENGTH characters is a duplicate span: documents whose factors overlap that far in
+   one block share it. Where at least two documents leave a block at the same place with the same character they may go
+   on together; their spans across that boundary are compared among themselves, by hash and then by SHA-256.
+
+Work and shuffles grow with the passages, not with their pairs: a standing text of any length held by a third of all
+documents is one block, factored row by row. Documents that share exactly the same spans form a class, so that links can
+be counted, and pairs told, between classes.
 """
 
 from __future__ import annotations
@@ -22,13 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemill.scale import join_hot, map_arrow, written
+from tidemill.scale import HOT_SHARE, join_hot, join_salted, map_arrow, written
 
 MIN_LENGTH = 300
 WINDOW = 200
 STRIDE = MIN_LENGTH - WINDOW + 1
-#: Passages parsed against each other by one task; larger blocks are split by content.
-BLOCK_ROWS = 64
 #: Characters hashed at a time; longer texts are taken in pieces that overlap by MIN_LENGTH - 1.
 PIECE = 1 << 20
 
@@ -136,29 +138,29 @@ def _anchor_rows(batches: Iterator) -> Iterator:
 
 
 def _passages(batches: Iterator) -> Iterator:
-    """Cuts the passage around every anchor of a document; equal passages of one document and anchor once, with their number of positions."""
+    """Cuts the passage around every anchor of a document."""
     import pyarrow as pa
 
     reach = MIN_LENGTH - WINDOW
+    names = ["key", "salt", "doc_id", "pos", "lead", "passage"]
     for batch in batches:
-        keys, docs, places, leads, cut = [], [], [], [], []
+        rows = []
         for doc, text, anchors in zip(*(batch.column(k).to_pylist() for k in range(3))):
             for a in anchors:
-                p = a["pos"]
-                low = max(0, p - reach)
-                keys.append(a["key"])
-                docs.append(doc)
-                places.append(p)
-                leads.append(p - low)
-                cut.append(text[low : p + WINDOW + reach])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, batch.schema.field(0).type), pa.array(places, pa.int32()), pa.array(leads, pa.int32()), pa.array(cut, pa.string())], ["key", "doc_id", "pos", "lead", "passage"])
+                low = max(0, a["pos"] - reach)
+                rows.append((a["key"], a["salt"], doc, a["pos"], a["pos"] - low, text[low : a["pos"] + WINDOW + reach]))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+
+_PASSAGES = "key bigint, salt int, doc_id bigint, pos int, lead int, passage string"
 
 
 def _common(a: str, b: str) -> int:
     """Length of the common beginning."""
-    if a == b:
-        return len(a)
     low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
     while low < high:
         mid = (low + high + 1) // 2
         if a[low:mid] == b[low:mid]:
@@ -168,65 +170,54 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def _parse(members: list[tuple]) -> Iterator[tuple]:
-    """Common stretches (doc_a, doc_b, start_a, start_b, length) of one block's passages (doc, pos, lead, passage) against each other."""
-    reference: dict[tuple[int, str], list[tuple]] = {}
-    for doc, pos, lead, passage in members:
-        reference.setdefault((lead, passage), []).append((doc, pos))
-    entries = [(lead, p[:lead][::-1], p[lead:], at) for (lead, p), at in reference.items()]
-    for i, (_, back, ahead, here) in enumerate(entries):
-        for _, other_back, other_ahead, there in entries[i:]:
-            after = _common(ahead, other_ahead)
-            if after < WINDOW:
-                continue  # equal hashes of different windows
-            before = _common(back, other_back)
-            if before + after < MIN_LENGTH:
-                continue
-            for x, p in here:
-                for y, q in there:
-                    if x < y:
-                        yield x, y, p - before, q - before, before + after
-                    elif y < x and here is not there:
-                        yield y, x, q - before, p - before, before + after
-
-
-def _parse_blocks(batches: Iterator) -> Iterator:
-    """Parses the consecutive blocks of rows sorted by key; holds one block of at most BLOCK_ROWS rows and one batch."""
-    import pyarrow as pa
+def _factor(lead: int, passage: str, ref_lead: int, reference: str) -> tuple:
+    """(low, high, back, after, before_char, next_char) of a passage against the reference of its anchor.
+
+    back and after: characters equal before and from the anchor. low..high: how many characters before the anchor a span
+    of MIN_LENGTH inside the factor may begin; low > high if the factor is too short. The characters are those with
+    which the passage leaves the reference, null where the passage itself ends.
+    """
+    ahead, behind = passage[lead:], passage[:lead][::-1]
+    after, back = _common(ahead, reference[ref_lead:]), _common(behind, reference[:ref_lead][::-1])
+    if after < WINDOW:
+        back = after = 0  # equal hashes of different windows: nothing in common
+    low, high = max(0, MIN_LENGTH - after), min(back, MIN_LENGTH - WINDOW)
+    return low, high, back, after, behind[back : back + 1] or None, ahead[after : after + 1] or None
 
-    def out(rows: list[tuple]):
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_a", "doc_b", "start_a", "start_b", "length"])
 
-    key, block, found = None, [], []
+def _factors(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
     for batch in batches:
-        for k, *row in zip(*(batch.column(c).to_pylist() for c in range(5))):
-            if k != key:
-                found += _parse(block) if len(block) > 1 else ()
-                key, block = k, []
-                if len(found) > 20_000:
-                    yield out(found)
-                    found = []
-            block.append(row)
-    found += _parse(block) if len(block) > 1 else ()
-    if found:
-        yield out(found)
-
-
-def _exact_spans(batches: Iterator) -> Iterator:
-    """Two hashes of every span of MIN_LENGTH characters around the given anchors of a document."""
+        rows = [_factor(*r) for r in zip(*(batch.column(k).to_pylist() for k in ("lead", "passage", "ref_lead", "reference")))]
+        kinds = [("low", pa.int32()), ("high", pa.int32()), ("back", pa.int32()), ("after", pa.int32()), ("before_char", pa.string()), ("next_char", pa.string())]
+        found = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("key", "salt", "doc_id", "pos")] + found, ["key", "salt", "doc_id", "pos"] + [n for n, _ in kinds])
+
+
+_FACTORS = "key bigint, salt int, doc_id bigint, pos int, low int, high int, back int, after int, before_char string, next_char string"
+
+
+def _boundary_spans(batches: Iterator) -> Iterator:
+    """Two hashes of every span of MIN_LENGTH characters around the given anchors that lies outside their factors."""
     import numpy as np
     import pyarrow as pa
 
+    reach = MIN_LENGTH - WINDOW
     for batch in batches:
         for doc, text, anchors in zip(*(batch.column(k) for k in range(3))):
             codes = _codes(text.as_py())
-            last = len(codes) - MIN_LENGTH
-            starts = np.unique(np.concatenate([np.arange(max(0, a["pos"] - (MIN_LENGTH - WINDOW)), min(last, a["pos"]) + 1) for a in anchors.as_py()]))
-            for a in range(0, len(starts), PIECE):  # starts of a long text are taken piece by piece
-                some = starts[a : a + PIECE]
+            last, each = len(codes) - MIN_LENGTH, []
+            for a in anchors.as_py():
+                starts = np.arange(max(0, a["pos"] - reach), min(last, a["pos"]) + 1)
+                before = a["pos"] - starts
+                each.append(starts[(before < a["low"]) | (before > a["high"])])
+            starts = np.unique(np.concatenate(each))
+            for s in range(0, len(starts), PIECE):  # starts of a long text are taken piece by piece
+                some = starts[s : s + PIECE]
                 base, part = int(some[0]), codes[int(some[0]) : int(some[-1]) + MIN_LENGTH]
                 one, two = (_roller(w, len(part)).windows(part, MIN_LENGTH)[some - base].view(np.int64) for w in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array([doc.as_py()] * len(some), batch.schema.field(0).type), pa.array(some, pa.int32())], ["k1", "k2", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array([doc.as_py()] * len(some), pa.int64()), pa.array(some, pa.int32())], ["k1", "k2", "doc_id", "start"])
 
 
 def _long_texts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -235,68 +226,134 @@ def _long_texts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _shared_anchors(long: DataFrame) -> DataFrame:
-    """(key, doc_id, pos, n) of the anchors that at least two documents chose; n = how often the key was chosen."""
+    """(key, doc_id, pos, n, salts, salt, is_reference) of the anchors that at least two documents chose, n times in all.
+
+    The rows of a hot anchor (over 1/HOT_SHARE of all) are cut into `salts` parts; all its later joins are on (key, salt).
+    """
     anchors = written(map_arrow(long, _anchor_rows, "key bigint, doc_id bigint, pos int"), "anchors")
-    keys = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "n")
-    return written(join_hot(anchors, keys, "key", "n", anchors.count()), "shared-anchors")
+    at = F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")
+    keys = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(at).alias("first")).where("low < high").select("key", "n", "first")
+    total = anchors.count()
+    salts = F.ceil(F.col("n") / F.lit(max(1000.0, total / HOT_SHARE))).cast("int")
+    joined = join_hot(anchors, keys, "key", "n", total).select("key", "doc_id", "pos", "n", salts.alias("salts"), (at == F.col("first")).alias("is_reference"))
+    return written(joined.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.col("salts")).cast("int")), "shared-anchors")
 
 
-def _by_document(long: DataFrame, anchors: DataFrame) -> DataFrame:
+def _by_document(long: DataFrame, anchors: DataFrame, *columns: str) -> DataFrame:
     """(doc_id, text, anchors): the documents concerned with their anchors, an array that the document's length bounds."""
-    per_doc = anchors.groupBy("doc_id").agg(F.collect_list(F.struct("key", "pos")).alias("anchors"))
+    per_doc = anchors.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("anchors"))
     return long.join(per_doc, "doc_id").select("doc_id", "text", "anchors")
 
 
-def shared_factors(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
-    """Factors of blocks parsed as a whole, and members of spans from split blocks (None if no block was split).
+def _per_salt(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
-    Factors: (doc_a, doc_b, start_a, start_b, length), doc_a < doc_b, at least MIN_LENGTH characters equal, as far as
-    the two passages reach; every shared span of that length lies in one of them or in a split block. A pair has a
-    factor per anchor. Members: (k1, k2, doc_id, start), equal (k1, k2) meaning equal spans of MIN_LENGTH characters.
 
-    Ids are bigint and unique; rows with a null id or text, and shorter texts, share nothing.
+def _spans(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(kind, k1, k2, doc_id, start): spans of MIN_LENGTH characters; equal (kind, k1, k2) mean equal text.
+
+    Of the spans inside factors only those that begin where some factor of the block begins or ends to allow a span: any
+    two factors that overlap by MIN_LENGTH meet there, and first and last shared span of each document are among them.
     """
     long = _long_texts(documents, doc_id, text)
     anchors = _shared_anchors(long)
-    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    passages = map_arrow(_by_document(long, anchors.where(F.col("n") <= BLOCK_ROWS)), _passages, "key bigint, doc_id bigint, pos int, lead int, passage string")
-    blocks = passages.repartition(n, "key").sortWithinPartitions("key")
-    factors = map_arrow(blocks, _parse_blocks, "doc_a bigint, doc_b bigint, start_a int, start_b int, length int")
-    large = anchors.where(F.col("n") > BLOCK_ROWS)
-    if large.isEmpty():
-        return factors, None
-    spans = written(map_arrow(_by_document(long, large), _exact_spans, "k1 bigint, k2 bigint, doc_id bigint, start int"), "exact-spans")
-    keys = spans.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    return factors, spans.join(keys.select("k1", "k2"), ["k1", "k2"])
+    passages = map_arrow(_by_document(long, anchors, "key", "pos", "salt"), _passages, _PASSAGES)
+    firsts = anchors.where("is_reference")
+    references = map_arrow(_by_document(long, firsts, "key", "pos", "salt"), _passages, _PASSAGES).select("key", F.col("lead").alias("ref_lead"), F.col("passage").alias("reference"))
+    references = _per_salt(references.join(firsts.select("key", "salts"), "key"))
+    factors = written(map_arrow(passages.join(references, ["key", "salt"]), _factors, _FACTORS), "factors")
+    # Inside the factors.
+    sizes = firsts.select("key", "n", "salts")
+    whole = factors.where("low <= high")
+    marks = whole.groupBy("key").agg(F.array_distinct(F.concat(F.collect_set("low"), F.collect_set("high"))).alias("marks"))  # at most STRIDE numbers
+    marked = whole.join(_per_salt(marks.join(sizes.select("key", "salts"), "key")), ["key", "salt"])
+    inside = marked.select("key", "doc_id", "pos", F.explode(F.filter("marks", lambda m: m.between(F.col("low"), F.col("high")))).alias("m"))
+    inside = inside.select(F.lit(0).alias("kind"), F.col("key").alias("k1"), F.col("m").cast("bigint").alias("k2"), "doc_id", (F.col("pos") - F.col("m")).alias("start"))
+    # Across the boundaries where documents leave a block together; a block of two rows has nobody to leave it with.
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("back").alias("at"), F.col("before_char").alias("c")), F.struct(F.lit(1).alias("side"), F.col("after").alias("at"), F.col("next_char").alias("c")))
+    crowded = _per_salt(sizes.where("n > 2").select("key", "salts"))
+    ends = factors.join(crowded, ["key", "salt"]).select("key", "doc_id", "pos", "low", "high", F.explode(sides).alias("e")).where("e.c is not null").select("key", F.col("e.side").alias("side"), F.col("e.at").alias("at"), F.col("e.c").alias("c"), "doc_id", "pos", "low", "high")
+    ends = written(ends.select(F.struct("key", "side", "at", "c").alias("end"), "doc_id", "pos", "low", "high"), "ends")
+    together = ends.groupBy("end").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("end", "n")
+    leaving = join_hot(ends, together, "end", "n", ends.count()).select("doc_id", "pos", "low", "high").distinct()
+    hashed = written(map_arrow(_by_document(long, leaving, "pos", "low", "high"), _boundary_spans, "k1 bigint, k2 bigint, doc_id bigint, start int").withColumn("k", F.struct("k1", "k2")).drop("k1", "k2"), "boundary-spans")
+    alike = hashed.groupBy("k").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("k", "n")
+    starts = join_hot(hashed, alike, "k", "n", hashed.count()).select("doc_id", "start").distinct()
+    each = _by_document(long, starts, "start").select("doc_id", "text", F.explode("anchors.start").alias("start"))
+    digest = F.sha2(F.substring(F.col("text"), F.col("start") + 1, F.lit(MIN_LENGTH)), 256)
+    half = lambda a: F.conv(F.substring(digest, a, 16), 16, -10).cast("bigint")
+    across = each.select(F.lit(1).alias("kind"), half(1).alias("k1"), half(17).alias("k2"), "doc_id", "start")
+    return inside.unionByName(across)
+
+
+def shared_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(span, doc_id, start): spans of MIN_LENGTH characters that at least two documents hold; `span` tells equal text.
+
+    Ids are bigint and unique; rows with a null id or text, and shorter texts, share nothing.
+    """
+    members = written(_spans(documents, doc_id, text).select(F.struct("kind", "k1", "k2").alias("span"), "doc_id", "start"), "spans")
+    held = members.groupBy("span").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("span", "n")
+    return join_hot(members, held, "span", "n", members.count()).select("span", "doc_id", "start")
+
+
+def _classes(documents: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Membership (doc_id, class_id, class_size) and links between classes (class_a, class_b), a < b; both written.
+
+    A class is the documents that share the same spans, known by its lowest document. Spans held by the same documents (a
+    long stretch has many) count as one, told by number, sum, xor and extremes of the documents' hashes. A span whose
+    holders all have the same most widely held span adds no link to that one and is left out, so that what stands
+    before and after a standing text does not split its class.
+    """
+    one = written(shared_spans(documents, doc_id, text).select("span", "doc_id").distinct(), "holders")
+    mark = F.xxhash64("doc_id")
+    groups = one.groupBy("span").agg(F.count("*").alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("sum"), F.bit_xor(mark).alias("xor"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    kept = groups.groupBy("n", "sum", "xor", "low", "high").agg(F.min("span").alias("span")).select("span", "n")
+    distinct = written(join_hot(one, kept, "span", "n", one.count()).select("span", "doc_id", F.max(F.struct("n", "span")).over(W.partitionBy("doc_id")).getField("span").alias("widest")), "distinct-holders")
+    telling = distinct.groupBy("span").agg(F.count("*").alias("n"), F.min("widest").alias("a"), F.max("widest").alias("b")).where("a <> b or a = span").select("span", "n")
+    held = written(join_hot(distinct, telling, "span", "n", distinct.count()).select("span", "doc_id"), "telling-holders")
+    # The spans of a document: an array that its length bounds.
+    signed = written(held.groupBy("doc_id").agg(F.sha2(F.to_json(F.sort_array(F.collect_set("span"))), 256).alias("signature")), "signatures")
+    classes = signed.groupBy("signature").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
+    members = written(join_hot(signed, classes, "signature", "n", signed.count()).select("doc_id", "class_id", F.col("n").alias("class_size")), "classes")
+    first = members.where("doc_id = class_id").select("doc_id")
+    reps = written(held.join(first, "doc_id").select("span", F.col("doc_id").alias("class_a")), "representatives")
+    links = join_salted(reps, reps.withColumnRenamed("class_a", "class_b"), "span").where("class_a < class_b").select("class_a", "class_b").distinct()
+    return members, written(links, "links")
+
+
+def sharing_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, class_size, links): one row per document that shares a span, with its number of links.
+
+    Documents of a class share exactly the same spans, so each links to all others of its class and to every document of
+    the classes linked to it. Hot standing texts cost one class, not their pairs.
+    """
+    members, links = _classes(documents, doc_id, text)
+    sizes = members.where("doc_id = class_id").select("class_id", "class_size")
+    both = links.union(links.select("class_b", "class_a")).toDF("class_id", "other")
+    reached = both.join(sizes.toDF("other", "size"), "other").groupBy("class_id").agg(F.sum("size").alias("reached"))
+    counted = sizes.join(reached, "class_id", "left").select("class_id", F.col("class_size").alias("n"), (F.coalesce("reached", F.lit(0)) + F.col("class_size") - 1).alias("links"))
+    return join_hot(members, counted, "class_id", "n", members.count()).select("doc_id", "class_id", "class_size", "links")
 
 
 def sharing_pairs(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: every two documents with at least MIN_LENGTH consecutive characters in common.
 
     Characters are Unicode code points, compared as written. Equal texts of that length are a pair; repeats inside
-    one document are none; null, empty and shorter texts have no pair. Ids are unique.
+    one document are none; null, empty and shorter texts have no pair. Ids are unique. Made of the classes and their
+    links by writing out the members; `sharing_classes` says the same without the pairs.
     """
-    factors, members = shared_factors(documents, doc_id, text)
-    pairs = factors.select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
-    if members is not None:
-        # A long stretch shared by the same documents yields many equal groups; one stands for all of them.
-        one = members.select("k1", "k2", "doc_id").distinct()
-        mark = F.xxhash64("doc_id")
-        groups = one.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("sum"), F.bit_xor(mark).alias("xor"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        kept = groups.groupBy("n", "sum", "xor", "low", "high").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
-        sides = one.join(kept, ["k1", "k2"])
-        others = sides.withColumnRenamed("doc_id", "doc_id_b")
-        pairs = pairs.unionByName(sides.withColumnRenamed("doc_id", "doc_id_a").join(others, ["k1", "k2"]).where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b"))
-    return pairs.distinct()
+    members, links = _classes(documents, doc_id, text)
+    of = lambda name: members.select(F.col("class_id").alias(name), F.col("doc_id").alias(f"doc_{name[-1]}"))
+    within = join_salted(of("class_a"), of("class_b").withColumnRenamed("class_b", "class_a"), "class_a").select("doc_a", "doc_b")
+    sides = written(links.join(of("class_a"), "class_a").select("class_b", "doc_a"), "sides")
+    between = join_salted(sides, of("class_b"), "class_b").select("doc_a", "doc_b")
+    pairs = within.where("doc_a < doc_b").unionByName(between)
+    return pairs.select(F.least("doc_a", "doc_b").alias("doc_id_a"), F.greatest("doc_a", "doc_b").alias("doc_id_b"))
 
 
 def shared_stretches(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start, end): the maximal stretches of each document of which every character lies in a shared span."""
-    factors, members = shared_factors(documents, doc_id, text)
-    side = lambda s: F.struct(F.col(f"doc_{s}").alias("doc_id"), F.col(f"start_{s}").alias("start"), (F.col(f"start_{s}") + F.col("length")).alias("end"))
-    spans = factors.select(F.explode(F.array(side("a"), side("b"))).alias("s")).select("s.*")
-    if members is not None:
-        spans = spans.unionByName(members.select("doc_id", "start", (F.col("start") + MIN_LENGTH).alias("end")))
+    spans = shared_spans(documents, doc_id, text).select("doc_id", "start", (F.col("start") + MIN_LENGTH).alias("end"))
     w = W.partitionBy("doc_id").orderBy("start", "end")
     reached = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
     islands = spans.distinct().select("doc_id", "start", "end", F.when(F.col("start") <= reached, 0).otherwise(1).alias("new"))
