@@ -62,11 +62,29 @@ def test_substitutions_are_tolerated(spark):
     assert all(r.span_words == SPAN and r.equal_words == SPAN - len({i // 100, i % 100}) and r.first_word == 0 for i, r in found.items())
 
 
-def test_blocks_give_the_same(spark, docs, monkeypatch):
+def test_a_full_filter_gives_the_same(spark, docs, monkeypatch):
+    """More evaluation texts than the filter can tell apart: everything is joined, the result stays."""
     df, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(ITEMS, "item_id bigint, text string")
     whole = sorted(leaked_items(df, items).collect())
-    monkeypatch.setattr(leaks, "INDEX_WORDS", 60)
-    assert sorted(leaked_items(df, items).collect()) == whole
+    full = leaks._filter(spark.createDataFrame([(1,)], "h bigint"))
+    full[:] = 0xFFFFFFFFFFFFFFFF
+    monkeypatch.setattr(leaks, "_filter", lambda seeds: full)
+    assert whole and sorted(leaked_items(df, items).collect()) == whole
+
+
+def test_hot_window_and_repeated_rows(spark):
+    """A passage that half of all documents and many items hold: every pair comes out, once for equal rows."""
+    words = ITEMS[0][1].split()[:SPAN]
+    docs = [(i, f"d{i} " * 3 + " ".join(words)) for i in range(3000)] + [(7, "d7 " * 3 + " ".join(words)), (7, " ".join(words)), (None, " ".join(words)), (None, " ".join(words))]
+    items = [(i, " ".join(words) + f" i{i}") for i in range(20)]
+    got = leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items + items[:3], "item_id bigint, text string")).select("doc_id", "item_id", "exact_run").collect()
+    assert len(got) == 3002 * 20 and {r.exact_run for r in got} == {SPAN}
+
+
+def test_letters_that_grow_in_lower_case(spark):
+    text = " ".join("İ" * 12)
+    rows = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert [tuple(r) for r in leaked_items(rows, rows.withColumnRenamed("doc_id", "item_id")).select("doc_id", "item_id").collect()] == [(1, 1)]
 
 
 def test_empty(spark, docs):
