@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions.keys import norm_key
-from tidemill.llm.pairs import all_pairs, item_pairs
+from tidemill.llm.pairs import item_pairs
 
 SCHEMA = "o string, p string, basket string, item string, n int"
 
@@ -45,11 +45,16 @@ def test_thresholds_lose_no_pair(spark):
         assert {(r.item_a, r.item_b) for r in item_pairs(df, norm_key(F.col("o")), norm_key(F.col("p")), least, support, lift).collect()} == want
 
 
-def test_empty_and_support(spark):
+def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert item_pairs(df, F.col("o"), F.col("p"), 1, 0.1).count() == 0
-    with pytest.raises(ValueError):
-        item_pairs(df, F.col("o"), F.col("p"), 1, 0.0)
+    assert item_pairs(df, F.col("o"), F.col("p")).count() == 0
+
+
+def test_a_huge_basket_is_spread(spark):
+    """One basket of 700 items in cells of 50: every pair once, with thresholds and without."""
+    df = spark.createDataFrame([("big", f"p{i:04d}", None, None, None) for i in range(700)] + [(f"o{i}", "p0000", None, None, None) for i in range(5)], SCHEMA)
+    assert item_pairs(df, F.col("o"), F.col("p"), block=50).count() == item_pairs(df, F.col("o"), F.col("p"), 1, 0.1, block=50).count() == 700 * 699 // 2
 
 
 @pytest.mark.parametrize("block", [1, 3, 16, 1024])
@@ -58,7 +63,7 @@ def test_all_pairs_have_no_floor(spark, block):
     rows = [(f"o{i % 40}", f"p{(i * i + i // 7) % 9}", "x", "y", 1) for i in range(300)] + [(f"s{i}", "p1", "x", "y", 1) for i in range(5000)]
     rows += [(" O1", "P1 ", None, None, None), (None, "p1", "x", "y", 1), ("o1", None, "x", "y", 1), ("", "p1", "x", "y", 1)] + [("big", f"p{i}", "x", "y", 1) for i in range(50)]
     n, single, both = expected(rows)
-    got = all_pairs(spark.createDataFrame(rows, SCHEMA), norm_key(F.col("o")), norm_key(F.col("p")), block).collect()
+    got = item_pairs(spark.createDataFrame(rows, SCHEMA), norm_key(F.col("o")), norm_key(F.col("p")), block=block).collect()
     assert len(got) == len(both) and {(r.item_a, r.item_b): r.baskets_both for r in got} == both
     for r in got:
         lift = both[r.item_a, r.item_b] * n / (single[r.item_a] * single[r.item_b])

@@ -12,46 +12,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def item_pairs(df: DataFrame, basket: Column, item: Column, min_both: int, min_support: float, min_lift: float = 0.0) -> DataFrame:
+#: From this support on, the kept items are broadcast: they are at most (mean basket size / BROADCAST_SUPPORT).
+BROADCAST_SUPPORT = 1e-4
+
+
+def item_pairs(df: DataFrame, basket: Column, item: Column, min_both: int = 1, min_support: float = 0.0, min_lift: float = 0.0, block: int = 1024) -> DataFrame:
     """One row per pair item_a < item_b with baskets_both >= min_both, support >= min_support and lift >= min_lift.
 
     baskets_a, baskets_b, baskets_both, n_baskets; support = both / n; lift = both * n / (a * b); confidence_ab = both / a,
     confidence_ba = both / b; pmi = log2(lift); npmi = pmi / -log2(support). Rows with a null basket or item do not count;
-    an item repeated in a basket counts once; a blank key is a key. An empty table gives no pair.
-
-    `min_support` must be positive: it bounds the items that are kept to (mean basket size / min_support), whatever
-    the data. That is what may be broadcast here, and the longest array one basket can collect. Pairs below any support: `all_pairs`.
-    """
-    if not min_support > 0:
-        raise ValueError("min_support must be positive: it bounds the broadcast items and the arrays of large baskets")
-    held = _held(df, basket, item)
-    n = F.broadcast(held.select("basket").distinct().agg(F.count("*").alias("n")))  # one row
-    items = held.groupBy("item").agg(F.count("*").alias("baskets")).join(n)
-    # The best a pair with this item can reach; the slack covers the rounding of the division.
-    able = (F.col("baskets") >= min_both) & (F.col("baskets") / F.col("n") >= min_support) & (F.col("n") / F.col("baskets") >= min_lift * (1 - 1e-9))
-    kept = F.broadcast(items.where(able))
-    lists = held.join(kept, "item").groupBy("basket").agg(F.sort_array(F.collect_list(F.struct("item", "baskets"))).alias("items"), F.first("n").alias("n"))
-    firsts = lists.where(F.size("items") > 1).select("n", "items", F.posexplode("items").alias("i", "a"))
-    pairs = firsts.select("n", "a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("b"))
-    keys = [F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b"), F.col("a.baskets").alias("baskets_a"), F.col("b.baskets").alias("baskets_b"), F.col("n").alias("n_baskets")]
-    counts = pairs.groupBy(*keys).agg(F.count("*").alias("baskets_both")).where(F.col("baskets_both") >= min_both)
-    scored = _measures(counts)
-    return _information(scored.where((F.col("support") >= min_support) & (F.col("lift") >= min_lift)))
-
-
-def all_pairs(df: DataFrame, basket: Column, item: Column, block: int = 1024) -> DataFrame:
-    """The columns of `item_pairs` for every pair item_a < item_b that shares a basket, however rare.
+    an item repeated in a basket counts once; a blank key is a key. An empty table gives no pair. Without thresholds
+    every pair that shares a basket comes out, however rare.
 
-    No threshold bounds the items here, so nothing is broadcast but the number of baskets, and the items of a basket are
-    numbered and cut into blocks of `block`: a pair lies in exactly one cell (block of a, block of b) of its basket. Cells
-    are what is shuffled and collected, so no array is longer than `block` and the cells of a huge basket are spread
-    over tasks. A basket of up to `block` items is one cell.
+    The items of a basket are numbered and cut into blocks of `block`: a pair lies in exactly one cell (block of a, block
+    of b) of its basket. Cells are what is shuffled and collected, so no array is longer than `block` and the cells of a
+    huge basket are spread over tasks. A basket of up to `block` items is one cell.
     """
     held = _held(df, basket, item)
     n = F.broadcast(held.select("basket").distinct().agg(F.count("*").alias("n_baskets")))  # one row
     items = held.groupBy("item").agg(F.count("*").alias("baskets"))
+    rows = held
+    if min_both > 1 or min_support > 0 or min_lift > 0:
+        # The best a pair with this item can reach; the slack covers the rounding of the division.
+        share = F.col("baskets") / F.col("n_baskets")
+        able = (F.col("baskets") >= min_both) & (share >= min_support) & (1 / share >= min_lift * (1 - 1e-9))
+        kept = items.join(n).where(able).select("item", "baskets")
+        rows = held.join(F.broadcast(kept) if min_support >= BROADCAST_SUPPORT else kept, "item").select("basket", "item")
     own = W.partitionBy("basket")
-    ranked = held.select("basket", "item", F.row_number().over(own.orderBy("item")).alias("r"), F.count("*").over(own).alias("size")).where("size > 1")
+    ranked = rows.select("basket", "item", F.row_number().over(own.orderBy("item")).alias("r"), F.count("*").over(own).alias("size")).where("size > 1")
     blocks = ranked.select("basket", "item", F.floor((F.col("r") - 1) / block).cast("int").alias("own"), F.floor((F.col("size") - 1) / block).cast("int").alias("last"))
     other = blocks.select("basket", "item", "own", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
     # One struct as the key: by its parts Spark would leave all cells of a basket in the task of the basket.
@@ -62,9 +50,12 @@ def all_pairs(df: DataFrame, basket: Column, item: Column, block: int = 1024) ->
     )
     partners = F.when(F.col("cell.i") == F.col("cell.j"), F.col("low")).otherwise(F.col("high"))
     pairs = parts.select(F.explode("low").alias("item_a"), partners.alias("partners")).select("item_a", F.explode("partners").alias("item_b")).where("item_a < item_b")
-    counts = pairs.groupBy("item_a", "item_b").agg(F.count("*").alias("baskets_both"))
-    counts = counts.join(items.select(F.col("item").alias("item_a"), F.col("baskets").alias("baskets_a")), "item_a").join(items.select(F.col("item").alias("item_b"), F.col("baskets").alias("baskets_b")), "item_b").join(n)
-    return _information(_measures(counts.select("item_a", "item_b", "baskets_a", "baskets_b", "n_baskets", "baskets_both")))
+    counts = pairs.groupBy("item_a", "item_b").agg(F.count("*").alias("baskets_both")).where(F.col("baskets_both") >= min_both).join(n)
+    counts = counts.where(F.col("baskets_both") / F.col("n_baskets") >= min_support)
+    for side in "ab":
+        counts = counts.join(items.select(F.col("item").alias(f"item_{side}"), F.col("baskets").alias(f"baskets_{side}")), f"item_{side}")
+    scored = _measures(counts.select("item_a", "item_b", "baskets_a", "baskets_b", "n_baskets", "baskets_both"))
+    return _information(scored.where(F.col("lift") >= min_lift))
 
 
 def _held(df: DataFrame, basket: Column, item: Column) -> DataFrame:

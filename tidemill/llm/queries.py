@@ -57,7 +57,7 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     round(nab / nb, 6) as confidence_ba, round(log2(lift), 6) as pmi from s""")
 def p6_all_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The figures of p6_pairs for every pair of products that shares an order, however rare and below chance too."""
-    found = pairs.all_pairs(table(spark, d, "slv_order_items"), norm_key(F.col("order_id")), norm_key(F.col("product_id")))
+    found = pairs.item_pairs(table(spark, d, "slv_order_items"), norm_key(F.col("order_id")), norm_key(F.col("product_id")))
     rounded = [F.round(c, 6).alias(c) for c in ("support", "lift", "confidence_ab", "confidence_ba", "pmi")]
     return found.select(F.col("item_a").alias("product_a"), F.col("item_b").alias("product_b"), "baskets_both", "n_baskets", *rounded)
 
