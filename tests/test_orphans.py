@@ -3,9 +3,16 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidemill import scale
-from tidemill.operators.orphans import orphan_counts, orphan_references
+from tidemill.operators import orphans
+from tidemill.operators.orphans import ForeignKey, orphan_counts
 
 t = lambda d: datetime(2025, 1, d)
+
+
+def orphan_references(child, column, parent, parent_column):
+    return orphans.orphan_references(child, [ForeignKey(column, parent, parent_column)])
+
+
 CHILD = "row_id bigint, fk string, _ingestion_ts timestamp_ntz, key string, n int"
 PARENT = "pk string, _ingestion_ts timestamp_ntz, _deleted_at timestamp_ntz, key string"
 
@@ -29,3 +36,10 @@ def test_hot_missing_key_goes_by_broadcast(spark, monkeypatch):
     parent = child.where("row_id between 200 and 299").select(F.col("fk").alias("pk"), "_ingestion_ts")
     got = orphan_references(child, "fk", parent, "pk")
     assert got.count() == 300 and got.select("row_id").distinct().count() == 300
+
+
+def test_references_of_one_child_are_kept_apart(spark):
+    child = spark.createDataFrame([(1, "a", t(2), "x", 1), (2, "b", t(2), None, 1)], CHILD)
+    one, two = spark.createDataFrame([("A", t(1), None, "x")], PARENT), spark.createDataFrame([("b", t(3), None, "x")], PARENT)
+    got = orphans.orphan_references(child, [ForeignKey("fk", one, "pk"), ForeignKey("key", two, "pk"), ForeignKey("fk", two, "pk")]).collect()
+    assert sorted((r.child_column, r.row_id, r.kind) for r in got) == [("fk", 1, "missing"), ("fk", 2, "late"), ("fk", 2, "missing"), ("key", 1, "missing")]

@@ -291,8 +291,10 @@ def _orphans_sql() -> str:
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     """The orphans of every reference that fk_specs lists; the list itself is configuration and read by the driver."""
     specs = table(spark, d, "fk_specs").select("child_table", "child_column", "parent_table", "parent_column").distinct().sort("child_table", "child_column").collect()
-    name = lambda s: [F.lit(s.child_table).alias("child_table"), F.lit(s.child_column).alias("child_column")]
-    parts = [orphans.orphan_references(table(spark, d, s.child_table), s.child_column, table(spark, d, s.parent_table), s.parent_column).select(*name(s), "row_id", "arrived", "kind") for s in specs]
+    children: dict[str, list[orphans.ForeignKey]] = {}
+    for s in specs:
+        children.setdefault(s.child_table, []).append(orphans.ForeignKey(s.child_column, table(spark, d, s.parent_table), s.parent_column))
+    parts = [orphans.orphan_references(table(spark, d, name), keys).select(F.lit(name).alias("child_table"), "child_column", "row_id", "arrived", "kind") for name, keys in children.items()]
     none = spark.createDataFrame([], "child_table string, child_column string, row_id bigint, arrived timestamp_ntz, kind string")
     return reduce(DataFrame.unionByName, parts) if parts else none
 
