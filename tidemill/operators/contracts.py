@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemill.operators.rejects import instant
+from tidemill.scale import written
 
 #: Which kind of failure names the row when several hold, first to last.
 PRIORITY = ("malformed", "required_missing", "type_invalid", "enum_invalid", "range_invalid", "sequence_invalid", "fk_missing", "business", "parent_rejected")
@@ -32,6 +33,17 @@ class Field:
     values: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class Sql:
+    """A column as SQL text over the typed columns and lookups of a row; `other`: its spelling in another engine, if it differs."""
+
+    text: str
+    other: str | None = None
+
+    def __call__(self) -> Column:
+        return F.expr(self.text)
+
+
 @dataclass(frozen=True)
 class Check:
     """A named failure 'kind:detail'. Soft ones only set the flag dq_detail; an unknown result passes, or stays null if so asked."""
@@ -73,6 +85,16 @@ class Reference:
     parent_column: str
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """Columns joined from the valid rows of a parent by equal keys: `values` maps a parent's column to its name here."""
+
+    column: str
+    parent: str
+    parent_column: str
+    values: Mapping[str, str]
+
+
 @dataclass(frozen=True)
 class Contract:
     """A dataset: business key, fields, checks, references, and which columns date a row (arrival, event)."""
@@ -86,6 +108,7 @@ class Contract:
     event: str | None = None
     row_id: str = "row_id"
     derive: Mapping[str, Callable[[], Column]] = field(default_factory=dict)
+    lookups: tuple[Lookup, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -98,7 +121,7 @@ class Outcome:
     @property
     def valid(self) -> DataFrame:
         c = self.contract
-        soft = [F.col(f"dq_{k.name.split(':')[1]}") for k in c.checks if not k.hard]
+        soft = [F.col(f"dq_{k.name.split(':')[1]}") for k in c.checks if not k.hard] + [F.col(f"dq_{f.name}_invalid") for f in c.fields if f.style == "email"]
         rows = self.checked.where(F.size("failures") == 0)
         return rows.select(c.row_id, *[f.name for f in c.fields], *[e().alias(n) for n, e in c.derive.items()], *soft)
 
@@ -164,9 +187,18 @@ def latest(df: DataFrame, contract: Contract) -> DataFrame:
     return df.groupBy(*groups).agg(F.max_by(F.struct(*df.columns), F.struct(*at)).alias("r"), F.count("*").alias("n_copies")).select("r.*", "n_copies")
 
 
+def _looked_up(df: DataFrame, lookup: Lookup, parent: Outcome | DataFrame) -> DataFrame:
+    """`df` with the columns of a lookup, null where the parent has no valid row of the key; keys that repeat give their lowest value."""
+    rows = parent.valid if isinstance(parent, Outcome) else parent
+    found = rows.where(F.col(lookup.parent_column).isNotNull()).groupBy(F.col(lookup.parent_column).alias("__lk")).agg(*[F.min(v).alias(n) for v, n in lookup.values.items()])
+    return df.join(found, F.expr(lookup.column) == F.col("__lk"), "left").drop("__lk")
+
+
 def check(raw: DataFrame, contract: Contract, parents: Mapping[str, Outcome | DataFrame] | None = None) -> Outcome:
     """The contract applied to raw text or typed columns. `parents`: outcomes (or plain tables) of the datasets referenced."""
     df = latest(standardised(raw, contract), contract)
+    for lookup in contract.lookups:
+        df = _looked_up(df, lookup, (parents or {})[lookup.parent])
     checks: list[tuple[str, Column]] = []
     for f in contract.fields:
         std, value = F.col(f"std_{f.name}"), F.col(f.name)
@@ -190,12 +222,18 @@ def check(raw: DataFrame, contract: Contract, parents: Mapping[str, Outcome | Da
     checks.sort(key=lambda c: PRIORITY.index(c[0].split(":")[0]))  # stable: within a kind, the declared order
     failures = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks]))
     flags = {f"dq_{k.name.split(':')[1]}": F.coalesce(k.fails(), F.lit(False)) if k.unknown_passes else k.fails() for k in contract.checks if not k.hard}
+    flags |= {f"dq_{f.name}_invalid": clean(F.col(f"raw_{f.name}")).isNotNull() & F.col(f"std_{f.name}").isNull() for f in contract.fields if f.style == "email"}
     df = df.withColumns({"failures": failures, **flags})
     cascade = F.forall("failures", lambda x: x.startswith("parent_rejected"))
     drop = [f"__k{i}" for i in range(len(contract.references))] + [f"__ok{i}" for i in range(len(contract.references))]
     return Outcome(contract, df.withColumns({"primary_rule": F.get("failures", F.lit(0)), "rejection_type": F.when(F.size("failures") > 0, F.when(cascade, "cascade").otherwise("direct"))}).drop(*drop))
 
 
+def settled(o: Outcome, name: str) -> Outcome:
+    """The outcome with its rows written once: datasets that refer to it do not check it again."""
+    return Outcome(o.contract, written(o.checked, name))
+
+
 def quarantine(o: Outcome) -> DataFrame:
     """Rejected rows in one form for all datasets: record id, rules, primary rule, severity, type, the row as JSON."""
     c = o.contract

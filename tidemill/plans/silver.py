@@ -60,7 +60,7 @@ def outcomes(spark: SparkSession, d: str) -> dict[str, Outcome]:
     """The three datasets in the order of their references."""
     t = lambda n: table(spark, d, n)
     # Timestamps that are typed already are written as text in one of the accepted layouts, so one path checks all.
-    orders = contracts.check(t("slv_orders").withColumn("order_ts", F.date_format("order_ts", "yyyy-MM-dd HH:mm:ss")), ORDERS, {"stores": t("stores")})
+    orders = contracts.settled(contracts.check(t("slv_orders").withColumn("order_ts", F.date_format("order_ts", "yyyy-MM-dd HH:mm:ss")), ORDERS, {"stores": t("stores")}), "orders")
     items = contracts.check(t("slv_order_items"), ITEMS, {"orders": orders, "products": t("products")})
     payments = contracts.check(t("brz_payments"), PAYMENTS, {"orders": orders})
     return {"orders": orders, "order_items": items, "payments": payments}
