@@ -1,13 +1,13 @@
 """Totals and averages over trailing periods, days without activity included.
 
-Method: aggregate to days, densify every entity over its calendar, sum over a fixed number of preceding rows. The
-calendar rows of an entity are made where its daily rows already are (each row also yields the empty days up to the
-next one), so the entity-calendar product is never shuffled; it is sorted once for the window sums.
+Method: aggregate to days, densify with the cross join of entities and calendar, sum over a fixed number of preceding rows.
+The calendar is one row per day between the first and last of all, which bounds what the cross join broadcasts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,20 +20,17 @@ def dense_days(daily: DataFrame, entity: Sequence[str], day: str, values: Sequen
     The calendar of an entity runs from `start` to `end` (columns or literals); by default from its first to its
     last day. Rows outside are dropped, those with a null day too.
     """
-    w = W.partitionBy(*entity).orderBy(day)
-    first = F.lag(day).over(w).isNull()
-    after = F.lead(day).over(w)
     rows = daily.where(F.col(day).isNotNull())
     if start is not None:
         rows = rows.where(F.col(day) >= start)
     if end is not None:
         rows = rows.where(F.col(day) <= end)
-    low = F.when(first, F.least(F.col(day), start)).otherwise(F.col(day)) if start is not None else F.col(day)
-    high = F.coalesce(F.date_sub(after, 1), F.greatest(F.col(day), end) if end is not None else F.col(day))
-    rows = rows.select(*entity, F.col(day).alias("__day"), *values, low.alias("__low"), high.alias("__high"))
-    filled = rows.select(*entity, "__day", *values, F.explode(F.sequence("__low", "__high", F.expr("interval 1 day"))).alias(day))
-    here = F.col(day) == F.col("__day")
-    return filled.select(*entity, day, *[F.when(here, F.col(v)).alias(v) for v in values])
+    entities = rows.groupBy(*entity).agg(F.min(F.col(day) if start is None else start).alias("__first"), F.max(F.col(day) if end is None else end).alias("__last"))
+    ends = entities.agg(F.min("__first").alias("a"), F.max("__last").alias("b")).where("a is not null")
+    calendar = F.broadcast(ends.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("__day")))
+    grid = entities.crossJoin(calendar).where("__day between __first and __last").select(*[F.col(e).alias(f"__{e}") for e in entity], "__day")
+    same = reduce(lambda a, b: a & b, [F.col(f"__{e}").eqNullSafe(F.col(e)) for e in entity], F.col("__day") == F.col(day))
+    return grid.join(rows.select(*entity, day, *values), same, "left").select(*[F.col(f"__{e}").alias(e) for e in entity], F.col("__day").alias(day), *values)
 
 
 def rolling_totals(daily: DataFrame, entity: Sequence[str], day: str, values: Mapping[str, str], periods: Sequence[int] = (7, 30), start: Column | None = None, end: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
