@@ -88,19 +88,13 @@ def join_salted(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return mine.drop("__k").join(other.drop("__k"), [key, "__salt"]).drop("__salt")
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, total: int | DataFrame) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """Inner join of `left` with `right` (one row per key, `n` = how many rows of `left` hold it) without a skewed task.
 
-    Keys with over 1/HOT_SHARE of the `total` rows of `left` (a number, or a table of one row) go by broadcast: there are
-    fewer than HOT_SHARE of them whatever the data. Only the rest, in which no key is hot, is shuffled.
+    Keys with over 1/HOT_SHARE of the `total` rows of `left` go by broadcast: there are fewer than HOT_SHARE of them
+    whatever the data. Only the rest, in which no key is hot, is shuffled. `right` is read three times: write it first
+    if it is costly.
     """
-    if isinstance(total, DataFrame):
-        columns, (name,) = right.columns, total.columns
-        right = right.join(F.broadcast(total))  # one row
-        limit = F.greatest(F.lit(1), F.floor(F.col(name) / HOT_SHARE))
-        hot, cold = (right.where(c).select(*columns) for c in (F.col(n) > limit, F.col(n) <= limit))
-        hot = F.broadcast(hot)
-    else:
-        limit = max(1, total // HOT_SHARE)
-        hot, cold = F.broadcast(right.where(F.col(n) > limit)), right.where(F.col(n) <= limit)
+    limit = max(1, total // HOT_SHARE)
+    hot, cold = F.broadcast(right.where(F.col(n) > limit)), right.where(F.col(n) <= limit)
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
