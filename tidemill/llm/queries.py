@@ -68,7 +68,13 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.token_ids(table(spark, d, "documents"))
 
 
-@query()
+def _word_windows(table_name: str, key: str) -> str:
+    """Every window of 12 words of a text as one string, without masks or hashes."""
+    words = f"select {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from {table_name} where text is not null"
+    return f"(select distinct {key}, array_to_string(w[i : i + 11], ' ') as k from ({words}) x, unnest(range(1, len(w) - 10)) t(i) where len(w) >= 12)"
+
+
+@query(f"select distinct doc_id, item_id from {_word_windows('documents', 'doc_id')} d join {_word_windows('eval_items', 'item_id')} i on i.k = d.k")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold at least 12 consecutive words of an evaluation item."""
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).where(F.col("exact_run") >= leaks.SPAN).select("doc_id", "item_id").distinct()
@@ -80,13 +86,25 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-@query()
+# Every window of 300 characters, compared as text.
+_SPANS_SQL = "w as (select doc_id, cast(i as int) as s, substring(text, i, 300) as k from documents, unnest(range(1, cast(length(text) as int) - 298)) t(i) where length(text) >= 300), g as (select k from w group by 1 having min(doc_id) < max(doc_id)), m as (select doc_id, s, w.k from w join g on g.k = w.k)"
+
+
+@query(f"""with {_SPANS_SQL}, l as (select distinct a.doc_id, b.doc_id as other from m a join m b on a.k = b.k and a.doc_id <> b.doc_id) select doc_id, cast(count(*) as bigint) as links from l group by 1""")
+def p9_links(spark: SparkSession, d: str) -> DataFrame:
+    """How many other documents share at least 300 characters in a row with each document, counted by classes."""
+    return spans.sharing_classes(table(spark, d, "documents")).select("doc_id", "links")
+
+
+@query(f"with {_SPANS_SQL} select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from m a join m b on a.k = b.k and a.doc_id < b.doc_id")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents with at least 300 characters in a row in common."""
     return spans.sharing_pairs(table(spark, d, "documents"))
 
 
-@query()
+@query(f"""with {_SPANS_SQL}, p as (select distinct doc_id, s from m), r as (select doc_id, s, greatest(0, 300 - coalesce(lead(s) over (partition by doc_id order by s) - s, 300)) as overlap from p),
+    c as (select doc_id, sum(300 - overlap) as shared_chars from r group by 1)
+    select doc_id, cast(length(text) as bigint) as n_chars, cast(shared_chars as bigint) as shared_chars, round(shared_chars / length(text), 6) as shared_share from c join documents using (doc_id)""")
 def p9_shared_characters(spark: SparkSession, d: str) -> DataFrame:
     """How many characters of each document are shared elsewhere."""
     return spans.shared_characters(table(spark, d, "documents"))
