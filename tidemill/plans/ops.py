@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,11 @@ def reachable(edges: DataFrame, source: str = "source", target: str = "target")
     return seen
 
 
+def scrubbed_text(text: str) -> str:
+    """The same of one error text on the driver."""
+    return re.sub(r"/(?:home|root|tmp|Users)/[^\s'\"]+", "<path>", re.sub(r"(?i)[a-z]:\\[^\s'\"]+", "<path>", text))[:300]
+
+
 def scrubbed(text):
     """An error text without local paths and user names, at most 300 characters."""
     plain = F.regexp_replace(F.regexp_replace(text, r"(?i)[a-z]:\\[^\s'\"]+", "<path>"), r"/(?:home|root|tmp|Users)/[^\s'\"]+", "<path>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,7 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
 def with_source(df: DataFrame, root: str | None = None) -> DataFrame:
     """Adds _source_file, relative to the last folder called `root` if given."""
     path = F.col("_metadata.file_path")
-    return df.select("*", (F.regexp_extract(path, rf"({root}/.*)$", 1) if root else path).alias("_source_file"))
+    return df.select("*", (F.regexp_extract(path, rf"({re.escape(root)}/.*)$", 1) if root else path).alias("_source_file"))
 
 
 def read_csv_text(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], root: str | None = None) -> DataFrame:

@@ -67,7 +67,8 @@ def ingest_stream(spark: SparkSession, folder: str, columns: Sequence[str], targ
             batch.unpersist()
 
     recover(spark, target)
-    root = folder.rstrip("/").split("/")[-1]
+    last = folder.rstrip("/").split("/")[-1]
+    root = None if set(last) & set("*?[{") else last  # a pattern names no folder
     stream = stream_csv_text(spark, folder, columns, files_per_batch, root)
     stream.writeStream.foreachBatch(load).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return written

@@ -33,6 +33,17 @@ def deduplicated(events: DataFrame, key: str = "event_id", late: str = "2 hours"
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def followed_by(first: DataFrame, second: DataFrame, within: str = "10 minutes", late: str = "2 hours") -> DataFrame:
+    """(user_id, first_id, second_id): events of `second` at most `within` after one of `first` by the same user.
+
+    Both sides carry watermarks and the join bounds their distance, so a stream drops its state of pairs that can no longer come.
+    """
+    a = first.withWatermark("ts", late).select(F.col("user_id"), F.col("event_id").alias("first_id"), F.col("ts").alias("first_ts"))
+    b = second.withWatermark("ts", late).select(F.col("user_id").alias("other"), F.col("event_id").alias("second_id"), F.col("ts").alias("second_ts"))
+    near = (F.col("user_id") == F.col("other")) & (F.col("second_ts") >= F.col("first_ts")) & (F.col("second_ts") <= F.col("first_ts") + F.expr(f"interval {within}"))
+    return a.join(b, near).select("user_id", "first_id", "second_id")
+
+
 def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is available and returns its result as a table in the shared folder.
 
