@@ -12,26 +12,30 @@ def signals(lines: DataFrame, partners: int = 30, co: int = 50, popular: int = 3
 
     lines: (order, customer, product). repeat = orders of the product / the customer's most; copurchase = sum over
     products bought of shared orders / sqrt(partner's orders), scaled per customer, the best `co`; popular = orders /
-    most orders, the best `popular`. Candidates are the union. Top lists are cut per product or customer by row
-    number, which Spark turns into a group limit before the shuffle.
+    most orders, the best `popular`. Candidates are the union.
+
+    Own and reached products meet in one aggregation by customer and product; from there each customer is one array
+    (its own products, `co` and `popular`), to which the popular ones come from a single broadcast row.
     """
     held = lines.select("order", "customer", "product").distinct()
     orders = held.groupBy("product").agg(F.count_distinct("order").alias("n"))
     own = held.groupBy("customer", "product").agg(F.count("*").alias("k"))
-    repeat = own.select("customer", "product", "k", (F.col("k") / F.max("k").over(W.partitionBy("customer"))).alias("repeat"))
     a, b = held.select("order", "product"), held.select("order", F.col("product").alias("partner"))
     both = a.join(b, "order").where("product <> partner").groupBy("product", "partner").agg(F.count("*").alias("c"))
     strength = both.join(orders.withColumnRenamed("product", "partner"), "partner").select("product", "partner", (F.col("c") / F.sqrt("n")).alias("s"))
     best = strength.withColumn("r", F.row_number().over(W.partitionBy("product").orderBy(F.desc("s"), "partner"))).where(F.col("r") <= partners)
-    reached = own.select("customer", "product").join(best, "product").groupBy("customer", F.col("partner").alias("product")).agg(F.round(F.sum("s"), 9).alias("s"))
+    reached = own.select("customer", "product").join(best, "product").select("customer", F.col("partner").alias("product"), F.lit(None).cast("bigint").alias("k"), "s")
+    each = own.withColumn("s", F.lit(None).cast("double")).unionByName(reached).groupBy("customer", "product").agg(F.max("k").alias("k"), F.round(F.sum("s"), 9).alias("s"))
     w = W.partitionBy("customer")
-    near = reached.withColumn("r", F.row_number().over(w.orderBy(F.desc("s"), "product"))).where(F.col("r") <= co).select("customer", "product", (F.col("s") / F.max("s").over(w)).alias("copurchase"))
-    top = orders.select("product", F.col("n").alias("on")).orderBy(F.desc("on"), "product").limit(popular)
-    most = orders.agg(F.max("n").alias("most"))
-    everyone = held.select("customer").distinct().join(F.broadcast(top.select("product")))  # `popular` rows
-    candidates = repeat.select("customer", "product").union(near.select("customer", "product")).union(everyone).distinct()
-    full = candidates.join(repeat, ["customer", "product"], "left").join(near, ["customer", "product"], "left").join(orders, "product").join(F.broadcast(most))
-    return full.select("customer", "product", *[F.round(F.coalesce(c, F.lit(0.0)), 9).alias(n) for c, n in ((F.col("repeat"), "repeat"), (F.col("copurchase"), "copurchase"), (F.col("n") / F.col("most"), "popular"))])
+    place = F.row_number().over(w.orderBy(F.desc_nulls_last("s"), "product"))
+    near = F.when(F.col("s").isNotNull() & (place <= co), F.col("s") / F.max("s").over(w))
+    scaled = each.select("customer", "product", (F.col("k") / F.max("k").over(w)).alias("repeat"), near.alias("near")).where("repeat is not null or near is not null")
+    listed = scaled.groupBy("customer").agg(F.collect_list(F.struct("product", "repeat", "near")).alias("mine"))
+    top = orders.orderBy(F.desc("n"), "product").limit(popular).agg(F.collect_list("product").alias("top"))
+    added = F.transform(F.array_except("top", F.transform("mine", lambda x: x["product"])), lambda x: F.struct(x.alias("product"), F.lit(None).cast("double").alias("repeat"), F.lit(None).cast("double").alias("near")))
+    full = listed.join(F.broadcast(top)).select("customer", F.explode(F.concat("mine", added)).alias("c")).select("customer", "c.*")  # one row
+    full = full.join(orders, "product").join(F.broadcast(orders.agg(F.max("n").alias("most"))))  # one row
+    return full.select("customer", "product", *[F.round(F.coalesce(c, F.lit(0.0)), 9).alias(n) for c, n in ((F.col("repeat"), "repeat"), (F.col("near"), "copurchase"), (F.col("n") / F.col("most"), "popular"))])
 
 
 def ranked(signals: DataFrame, weights: tuple[float, float, float] = (1.0, 0.6, 0.5), k: int = 10) -> DataFrame:
@@ -57,14 +61,21 @@ def ranking_metrics(lists: DataFrame, bought: DataFrame, n_products: int, k: int
 
 
 def choose_weights(signals: DataFrame, bought: DataFrame, n_products: int, grid: list[tuple[float, float, float]], k: int = 10) -> DataFrame:
-    """Metrics of every weighting of the grid (a fixed short list), best precision, then recall, first; one plan for all."""
-    spark = signals.sparkSession
-    weights = spark.createDataFrame([(i, *g) for i, g in enumerate(grid)], "g int, wr double, wc double, wp double")
-    scored = signals.join(F.broadcast(weights)).withColumn("score", F.round(F.col("repeat") * F.col("wr") + F.col("copurchase") * F.col("wc") + F.col("popular") * F.col("wp"), 4))
-    w = W.partitionBy("g", "customer").orderBy(F.desc("score"), "product")
-    lists = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """Metrics of every weighting of the grid (a fixed short list), best precision, then recall, first.
+
+    A customer's candidates are one array, ranked once per weighting where they are: only customers are shuffled, not
+    candidates times weightings.
+    """
     truth = bought.select("customer", "product").distinct()
     sizes = truth.groupBy("customer").agg(F.count("*").alias("t"))
-    hit = lists.join(truth.withColumn("b", F.lit(1)), ["customer", "product"], "left").groupBy("g", "wr", "wc", "wp", "customer").agg(F.count("b").alias("h"))
-    g = hit.join(sizes, "customer").groupBy("g", "wr", "wc", "wp").agg(F.round(F.avg(F.col("h") / k), 6).alias("precision"), F.round(F.avg(F.col("h") / F.col("t")), 6).alias("recall"))
+    marked = signals.join(truth.withColumn("b", F.lit(1)), ["customer", "product"], "left")
+    lists = marked.groupBy("customer").agg(F.collect_list(F.struct("product", "repeat", "copurchase", "popular", "b")).alias("c")).join(sizes, "customer")
+
+    def hits(wr: float, wc: float, wp: float):
+        scored = F.transform("c", lambda x: F.struct((-F.round(x["repeat"] * wr + x["copurchase"] * wc + x["popular"] * wp, 4)).alias("s"), x["product"].alias("p"), x["b"].alias("b")))
+        return F.size(F.filter(F.slice(F.array_sort(scored), 1, k), lambda x: x["b"].isNotNull()))
+
+    each = F.array(*[F.struct(F.lit(i).alias("g"), *[F.lit(float(v)).alias(n) for n, v in zip(("wr", "wc", "wp"), w)], hits(*w).alias("h")) for i, w in enumerate(grid)])
+    x = lists.select("t", F.explode(each).alias("e")).select("t", "e.*")
+    g = x.groupBy("g", "wr", "wc", "wp").agg(F.round(F.avg(F.col("h") / k), 6).alias("precision"), F.round(F.avg(F.col("h") / F.col("t")), 6).alias("recall"))
     return g.orderBy(F.desc("precision"), F.desc("recall"), "g").drop("g")

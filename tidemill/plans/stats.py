@@ -360,8 +360,27 @@ def recommendation_metrics(spark: SparkSession, d: str) -> DataFrame:
     return recommend.ranking_metrics(recommend.ranked(recommend.signals(_lines(spark, d))), _lines(spark, d, until=False), 25)
 
 
-@query()
+_GRID = [(a, b, c) for a in (0.0, 0.5, 1.0) for b in (0.0, 0.3, 0.6, 1.0) for c in (0.2, 0.5, 1.0, 2.0)]
+_GRID_SQL = ", ".join(f"({i}, cast({a} as double), cast({b} as double), cast({c} as double))" for i, (a, b, c) in enumerate(_GRID))
+
+
+@query(f"""with {STAR_SQL}, {_RECOMMEND_SQL}, truth as (select distinct customer_id, brand from l where is_completed and business_date > date '{_CUT}'), sizes as (select customer_id, count(*) as t from truth group by 1),
+    g(g, wr, wc, wp) as (values {_GRID_SQL}), ranked as (select g.*, customer_id, brand, row_number() over (partition by g, customer_id order by round(repeat * wr + copurchase * wc + popular * wp, 4) desc, brand) as r from sig, g),
+    h as (select g, wr, wc, wp, ranked.customer_id, any_value(t) as t, count(truth.brand) as h from ranked join sizes using (customer_id) left join truth on truth.customer_id = ranked.customer_id and truth.brand = ranked.brand where r <= 10 group by 1, 2, 3, 4, 5)
+    select wr, wc, wp, round(avg(h / 10), 6) as precision, round(avg(h / t), 6) as recall from h group by g, wr, wc, wp""")
 def recommendation_weights(spark: SparkSession, d: str) -> DataFrame:
     """A grid of weightings, best first."""
-    grid = [(a, b, c) for a in (0.0, 0.5, 1.0) for b in (0.0, 0.3, 0.6, 1.0) for c in (0.2, 0.5, 1.0, 2.0)]
-    return recommend.choose_weights(recommend.signals(_lines(spark, d)), _lines(spark, d, until=False), 25, grid)
+    return recommend.choose_weights(recommend.signals(_lines(spark, d)), _lines(spark, d, until=False), 25, _GRID)
+
+
+_SHOP_LINES_SQL = """l as (select distinct upper(trim(i.order_id)) as order_id, upper(trim(o.customer_id)) as customer_id, upper(trim(i.product_id)) as brand, true as is_completed from slv_order_items i
+      join (select distinct order_id, customer_id from slv_orders where lower(trim(status)) = 'delivered') o on upper(trim(o.order_id)) = upper(trim(i.order_id)) where i.product_id is not null and o.customer_id is not null)"""
+
+
+@query(f"with {_SHOP_LINES_SQL}, {_PUBLISHED_SQL} select customer_id, brand as product_id, score, reason, rank from rec")
+def recommend_products_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Ten products for every customer of the shop with delivered orders."""
+    key = lambda c: F.upper(F.trim(F.col(c)))
+    orders = table(spark, d, "slv_orders").where("lower(trim(status)) = 'delivered'").select(key("order_id").alias("order"), key("customer_id").alias("customer")).where("order is not null and customer is not null").distinct()
+    items = table(spark, d, "slv_order_items").select(key("order_id").alias("order"), key("product_id").alias("product")).where("order is not null and product is not null")
+    return _topk(items.join(orders, "order")).withColumnRenamed("brand", "product_id")
