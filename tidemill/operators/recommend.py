@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemill.scale import written
+
 
 def signals(lines: DataFrame, partners: int = 30, co: int = 50, popular: int = 30) -> DataFrame:
     """(customer, product, repeat, copurchase, popular) for every candidate of every customer.
@@ -17,7 +19,7 @@ def signals(lines: DataFrame, partners: int = 30, co: int = 50, popular: int = 3
     Own and reached products meet in one aggregation by customer and product; from there each customer is one array
     (its own products, `co` and `popular`), to which the popular ones come from a single broadcast row.
     """
-    held = lines.select("order", "customer", "product").distinct()
+    held = written(lines.select("order", "customer", "product").distinct(), "held")  # read by five branches
     orders = held.groupBy("product").agg(F.count_distinct("order").alias("n"))
     own = held.groupBy("customer", "product").agg(F.count("*").alias("k"))
     a, b = held.select("order", "product"), held.select("order", F.col("product").alias("partner"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemill.scale import join_salted, written
+
 # Chunk sizes in words, BM25 constants, the score below which an answer is no answer.
 LONG, WINDOW, OVERLAP, SHORT = 200, 160, 30, 12
 K1, B = 1.5, 0.75
@@ -85,19 +87,20 @@ def expanded(text: Column) -> Column:
 def bm25(parts: DataFrame, key: list[str], text: str, questions: DataFrame, question_id: str, question: str, expand: bool = True) -> DataFrame:
     """(question_id, *key, score) of every question and part with a word in common.
 
-    Only words that some question asks are kept of the postings; document frequencies come from the same join. Scores
-    are combined map-side per question and part.
+    Only words that some question asks are kept of the postings. Tokens and weights are written, as several branches read
+    them; words that a large part of the corpus holds are salted. Scores are combined map-side per question and part.
     """
-    n = parts.select(*key, tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
+    n = written(parts.select(*key, tokens(F.col(text)).alias("t")).where(F.size("t") > 0), "tokens")
     size = n.agg(F.count("*").alias("N"), F.avg(F.size("t")).alias("mean"))
     asked = questions.select(F.col(question_id).alias("question_id"), F.explode(expanded(F.col(question)) if expand else F.array_distinct(tokens(F.col(question)))).alias("token"))
     postings = n.select(*key, F.size("t").alias("len"), F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    tf = postings.groupBy(*key, "token", "len").agg(F.count("*").alias("tf"))
+    tf = written(postings.groupBy(*key, "token", "len").agg(F.count("*").alias("tf")), "frequencies")
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    x = tf.join(df, "token").join(F.broadcast(size))  # one row
+    rare = written(asked.join(df, "token"), "asked")
+    x = join_salted(tf, rare, "token").join(F.broadcast(size))  # one row
     idf = F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return x.select(*key, "token", weight.alias("w")).join(asked, "token").groupBy("question_id", *key).agg(F.round(F.sum("w"), 6).alias("score"))
+    return x.select("question_id", *key, weight.alias("w")).groupBy("question_id", *key).agg(F.round(F.sum("w"), 6).alias("score"))
 
 
 def top_answers(scores: DataFrame, key: list[str], k: int = 3) -> DataFrame:
