@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemill.operators.wordlists import STOPWORDS, SYNONYMS
 from tidemill.scale import join_salted, written
 
 # Chunk sizes in words, BM25 constants, the score below which an answer is no answer.
@@ -13,34 +14,6 @@ LONG, WINDOW, OVERLAP, SHORT = 200, 160, 30, 12
 K1, B = 1.5, 0.75
 LEAST_SCORE = 3.24
 
-#: Words that carry no meaning for retrieval.
-STOPWORDS = """
-a an and are as at be been by can could do does did for from has have how i if in is it its me my of on or our
-should so than that the their them then there these they this to was we were what when where which who why will
-with would you your about any all also into more most much not only per same such tell us please show give
-""".split()
-
-#: Phrases that mean the same; a question with one of a group is asked with the words of all.
-SYNONYMS = (
-    ("stockout", "out of stock", "ran out", "run out", "empty shelf", "zero stock"),
-    ("reorder", "replenish", "replenishment", "restock", "order more"),
-    ("sla", "delivery promise", "on time", "on-time", "late delivery", "delivery time", "15 minutes"),
-    ("aov", "average order value", "basket value"),
-    ("refund", "return", "money back", "reimburse"),
-    ("promotion", "discount", "offer", "deal", "coupon"),
-    ("cancellation", "cancel", "cancelled", "canceled"),
-    ("forecast", "prediction", "predict", "demand forecast"),
-    ("segment", "segmentation", "customer group", "cluster"),
-    ("anomaly", "unusual", "spike", "outlier"),
-    ("wape", "forecast error", "accuracy"),
-    ("lead time", "supplier delivery", "delivery from supplier"),
-    ("write-off", "write off", "damaged", "damage", "expired"),
-    ("net revenue", "revenue", "sales value"),
-    ("recommendation", "recommend", "suggest products"),
-    ("lift", "confidence", "bought together", "basket rule", "affinity"),
-)
-
-
 def plain_text(c: Column) -> Column:
     """Markdown without its marks: links as their text, emphasis, code and heading marks removed."""
     linked = F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1")
@@ -80,7 +53,7 @@ def tokens(text: Column) -> Column:
 
 def expanded(text: Column) -> Column:
     """The distinct tokens of a question, with those of every synonym group of which it holds a phrase."""
-    groups = [F.when(F.lower(text).rlike("|".join(rf"\b{p}\b" for p in g)), tokens(F.lit(" ".join(g)))).otherwise(F.array().cast("array<string>")) for g in SYNONYMS]
+    groups = [F.when(F.lower(text).rlike("|".join(rf"(?<![a-z]){p}(?![a-z])" for p in g)), tokens(F.lit(" ".join(g)))).otherwise(F.array().cast("array<string>")) for g in SYNONYMS]
     return F.array_distinct(F.concat(tokens(text), *groups))
 
 
@@ -125,3 +98,20 @@ def best_sentences(text: Column, wanted: Column, k: int = 2) -> Column:
     scored = F.transform(sentences, lambda s, i: F.struct(-F.size(F.array_intersect(tokens(s), wanted)).alias("s"), i.alias("i"), s.alias("t")))
     picked = F.slice(F.array_sort(scored), 1, k)
     return F.transform(F.array_sort(F.transform(picked, lambda p: F.struct(p["i"], p["t"]))), lambda p: p["t"])
+
+
+def sections(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, section, heading, body) of the parts of marked-up texts between headings (# to ######); blank parts are left out.
+
+    Section 1 is what stands before the first heading (heading ''); line ends of any kind count. Null texts have none.
+    """
+    lines = F.replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    parts = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(lines, r"(?m)^#{1,6}[ ]+")).alias("i", "body"))
+    heading = F.when(F.col("i") > 0, F.trim(F.substring_index("body", "\n", 1))).otherwise(F.lit(""))
+    return parts.where(F.trim("body") != "").select("doc_id", (F.col("i") + 1).alias("section"), heading.alias("heading"), "body")
+
+
+def calibrated(scores: DataFrame) -> DataFrame:
+    """(worst_inside, best_outside, threshold) of (score, inside): the midpoint between the worst question with an answer and the best without."""
+    low, high = F.min(F.when(F.col("inside"), F.col("score"))), F.max(F.when(~F.col("inside"), F.col("score")))
+    return scores.agg(F.round(low, 6).alias("worst_inside"), F.round(high, 6).alias("best_outside"), F.round((low + high) / 2, 6).alias("threshold"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from tidemill import assistant
 from tidemill.operators import retrieval as r
+from tidemill.operators.entities import mentions
+from tidemill.operators.wordlists import STOPWORDS, SYNONYMS
 from tidemill.plans.registry import Registry
 from tidemill.sources.tables import table
 
@@ -13,13 +19,13 @@ query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 _STEM = "case when len({0}) > 5 and {0} like '%ing' then {0}[:-4] when len({0}) > 4 and {0} like '%ed' then {0}[:-3] when len({0}) > 4 and {0} like '%ies' then {0}[:-4] || 'y' when len({0}) > 3 and {0} like '%s' and {0} not like '%ss' then {0}[:-2] else {0} end"
-_STOP = "(" + ", ".join(f"'{w}'" for w in r.STOPWORDS) + ")"
+_STOP = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
 _tokens = lambda t: f"list_transform(list_filter(regexp_extract_all(lower({t}), '[a-z0-9]+'), lambda w: w not in {_STOP}), lambda w: {_STEM.format('w')})"
 _CHUNKS = f"""
     words as (select doc_id, list_filter(regexp_split_to_array(trim(text, ' '), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '') as w from documents where text is not null),
     parts as (select doc_id, w, cast(unnest(range(1, cast(case when len(w) <= {r.LONG} then 1 else greatest(ceil((len(w) - {r.WINDOW}) / {r.WINDOW - r.OVERLAP}.0), 0) + 1 end as int) + 1)) as int) as part from words where len(w) >= {r.SHORT}),
     chunks as (select doc_id, part, array_to_string(c, ' ') as text, cast(len(c) as int) as words from (select doc_id, part, case when len(w) <= {r.LONG} then w else w[(part - 1) * {r.WINDOW - r.OVERLAP} + 1 : (part - 1) * {r.WINDOW - r.OVERLAP} + {r.WINDOW}] end as c from parts))"""
-_GROUPS = ", ".join(f"case when regexp_matches(lower(text), '{'|'.join(chr(92) + 'b' + p + chr(92) + 'b' for p in g)}') then {_tokens(chr(39) + ' '.join(g) + chr(39))} else [] end" for g in r.SYNONYMS)
+_GROUPS = ", ".join(f"case when regexp_matches(lower(text), '{'|'.join('(?:^|[^a-z])' + p + '(?:$|[^a-z])' for p in g)}') then {_tokens(chr(39) + ' '.join(g) + chr(39))} else [] end" for g in SYNONYMS)
 _BM25 = f"""{_CHUNKS},
     tok as (select doc_id, part, {_tokens('text')} as t from chunks), full_tok as (select * from tok where len(t) > 0),
     size as (select count(*) as n, avg(len(t)) as mean from full_tok),
@@ -90,12 +96,84 @@ def route_questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", kind.otherwise("other").alias("route"))
 
 
-@query("""select d.doc_id, s.city from documents d join (select distinct trim(city, ' ') as city from stores where city is not null) s on contains(lower(d.text), lower(s.city)) group by 1, 2""")
+# Names count as whole words: a name's words must stand in a row among those of the text.
+_IN_ROW = "' ' || array_to_string(regexp_extract_all(lower({0}), '[a-z0-9]+'), ' ') || ' '"
+_NAMES_SQL = """select distinct kind, entity, name from (select 'store' as kind, upper(trim(store_id)) as entity, store_id as name from stores union all select 'store', upper(trim(store_id)), store_name from stores union all select 'city', trim(city), city from stores
+    union all select 'category', upper(trim(category_id)), category_id from products union all select 'product', upper(trim(product_id)), product_id from products union all select 'product', upper(trim(product_id)), product_name from products) where entity is not null and name is not null"""
+
+
+@query(f"select distinct d.doc_id, n.entity as city from documents d join (select distinct entity, {_IN_ROW.format('name')} as row from ({_NAMES_SQL}) where kind = 'city' and len(regexp_extract_all(lower(name), '[a-z0-9]+')) > 0) n on contains({_IN_ROW.format('d.text')}, n.row)")
 def city_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Cities named in each document: the known names as one broadcast list (one row per city), matched on the JVM."""
-    cities = table(spark, d, "stores").select(F.trim("city").alias("city")).where("city is not null").distinct()
-    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
-    return docs.join(cities, F.contains(F.col("t"), F.lower("city"))).select("doc_id", "city").distinct()
+    """Cities named in each document, as whole words: an equi-join on the first word of a name."""
+    return mentions(table(spark, d, "documents"), "doc_id", "text", _names(spark, d).where("kind = 'city'")).select("id", "entity").distinct().toDF("doc_id", "city")
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    stores, products = table(spark, d, "stores"), table(spark, d, "products")
+    key = lambda c: F.upper(F.trim(c))
+    parts = [(stores, "store", key("store_id"), "store_id"), (stores, "store", key("store_id"), "store_name"), (stores, "city", F.trim("city"), "city"), (products, "category", key("category_id"), "category_id"), (products, "product", key("product_id"), "product_id"), (products, "product", key("product_id"), "product_name")]
+    rows = [df.select(F.lit(kind).alias("kind"), entity.alias("entity"), F.col(name).alias("name")) for df, kind, entity, name in parts]
+    return reduce(DataFrame.unionByName, rows).where("entity is not null and name is not null").distinct()
+
+
+@query(f"""with n as (select kind, entity, {_IN_ROW.format('name')} as row, len(regexp_extract_all(lower(name), '[a-z0-9]+')) as words from ({_NAMES_SQL})),
+    f as (select distinct d.doc_id, kind, entity, words from documents d join n on words > 0 and contains({_IN_ROW.format('d.text')}, n.row)),
+    b as (select doc_id, kind, entity, max(words) as words, max(max(words)) over (partition by doc_id, kind) as most from f group by 1, 2, 3)
+    select doc_id, kind, entity, cast(words as int) as words from b where kind <> 'product' or words = most""")
+def entity_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Stores, cities, categories and products named in each document, by id or name; of products the longest names only."""
+    found = mentions(table(spark, d, "documents"), "doc_id", "text", _names(spark, d)).groupBy(F.col("id").alias("doc_id"), "kind", "entity").agg(F.max("words").alias("words"))
+    most = F.max("words").over(W.partitionBy("doc_id", "kind"))
+    return found.withColumn("most", most).where("kind <> 'product' or words = most").drop("most")
+
+
+_PERIOD = r"last (\d+) days?"
+
+
+@query(f"""select item_id, try_cast(nullif(regexp_extract(lower(text), '{_PERIOD}', 1), '') as int) as last_days, try_cast(nullif(regexp_extract(lower(text), '(?:^|[^a-z0-9_])top (\\d+)(?:$|[^a-z0-9_])', 1), '') as int) as top,
+    regexp_matches(lower(text), '(?:^|[^a-z0-9])(last|this|past) week(?:$|[^a-z0-9])') as week, regexp_matches(lower(text), '(?:^|[^a-z0-9])(last|this|past) month(?:$|[^a-z0-9])') as month from eval_items""")
+def question_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """The period and limit every question asks for."""
+    t = F.lower("text")
+    whole = lambda p: t.rlike(rf"(?<![a-z0-9])(?:{p})(?![a-z0-9])")
+    number = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit("")).try_cast("int")
+    return table(spark, d, "eval_items").select("item_id", number(_PERIOD).alias("last_days"), number(r"\btop (\d+)\b").alias("top"), whole("(?:last|this|past) week").alias("week"), whole("(?:last|this|past) month").alias("month"))
+
+
+def passages(spark: SparkSession, d: str, question: str) -> list[tuple[str, str]]:
+    """(sentences, source) of the best three chunks for one question whose score clears the threshold."""
+    asked = spark.createDataFrame([(0, question)], "item_id int, text string")
+    parts = _chunks(spark, d)
+    best = r.top_answers(r.bm25(parts, ["doc_id", "part"], "text", asked, "item_id", "text"), ["doc_id", "part"]).join(parts, ["doc_id", "part"])
+    words = asked.select(r.expanded(F.col("text")).alias("wanted"), F.size(F.array_distinct(r.tokens(F.col("text")))).alias("own"))
+    found = best.join(F.broadcast(words)).where(F.col("score") / F.sqrt("own") >= r.LEAST_SCORE)  # one question
+    rows = found.select("rank", F.array_join(r.best_sentences(F.col("text"), F.col("wanted")), " ").alias("answer"), "doc_id", "part").orderBy("rank").collect()  # three at most
+    return [(x.answer, f"document {x.doc_id}, part {x.part}") for x in rows]
+
+
+@query()
+def routed_questions(spark: SparkSession, d: str) -> DataFrame:
+    """What kind of answer each question asks for and which tool gives it; rules over the words, in Arrow batches."""
+    return assistant.routed(table(spark, d, "eval_items").select("item_id", "text"), "item_id", "text")
+
+
+@query(f"""with {_ANSWERED}, s as (select score / sqrt(len(own)) as s, question_set <> (select min(question_set) from eval_items) as inside from wanted join best on best.question_id = item_id where len(own) > 0)
+    select round(min(s) filter (inside), 6) as worst_inside, round(max(s) filter (not inside), 6) as best_outside, round((min(s) filter (inside) + max(s) filter (not inside)) / 2, 6) as threshold from s""")
+def threshold_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """The score between the worst question that has an answer and the best that has none (one set of questions standing in for the latter)."""
+    items = table(spark, d, "eval_items")
+    best = r.bm25(_chunks(spark, d), ["doc_id", "part"], "text", items, "item_id", "text").groupBy("question_id").agg(F.max("score").alias("score"))
+    asked = items.select(F.col("item_id").alias("question_id"), "question_set", F.size(F.array_distinct(r.tokens(F.col("text")))).alias("own")).where("own > 0")
+    first = F.broadcast(items.agg(F.min("question_set").alias("other")))  # one row
+    x = asked.join(best, "question_id").join(first).select((F.col("score") / F.sqrt("own")).alias("score"), (F.col("question_set") != F.col("other")).alias("inside"))
+    return r.calibrated(x)
+
+
+@query(r"""with x as (select doc_id, regexp_split_to_array(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)^#{1,6}[ ]+') as p, regexp_matches(text, '^#{1,6}[ ]+') as headed from documents where text is not null), y as (select doc_id, unnest(range(1, len(p) + 1)) as i, p from x)
+    select doc_id, cast(i as int) as section, case when i > 1 then trim(split_part(p[i], chr(10), 1), ' ') else '' end as heading, md5(p[i]) as digest from y where trim(p[i], ' ') <> ''""")
+def document_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Documents split at their headings, the part before the first one included."""
+    return r.sections(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "section", "heading", F.md5("body").alias("digest"))
 
 
 @query("""with f as (select unnest(list_distinct(regexp_extract_all(text, '\\d[\\d,]*(?:\\.\\d+)?'))) as raw, doc_id from documents where source = 'assistant'), a as (select doc_id, replace(raw, ',', '') as number from f)
