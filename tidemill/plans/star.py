@@ -41,6 +41,7 @@ class Star:
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_quantity").cast("bigint").alias("quantity"),
+            F.col("l_extendedprice").cast("decimal(12,2)").alias("gross"),
             (F.col("l_extendedprice").cast("decimal(12,2)") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(18,4)").alias("revenue"),
             F.col("l_returnflag").alias("return_flag"),
             F.to_date("l_shipdate").alias("ship_date"),
@@ -75,7 +76,7 @@ class Star:
 STAR_SQL = """
     o as (select o_orderkey as order_id, o_custkey as customer_id, cast(o_orderdate as date) as business_date, o_orderstatus as status, cast(o_totalprice as decimal(18,2)) as total_amount, c_nationkey as store_id,
             o_orderstatus = 'F' as is_completed, o_orderstatus = 'P' as is_cancelled from orders join customer on c_custkey = o_custkey),
-    l as (select l_orderkey as order_id, l_partkey as product_id, cast(l_quantity as bigint) as quantity, cast(cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(4,2))) as decimal(18,4)) as revenue, l_returnflag as return_flag,
+    l as (select l_orderkey as order_id, l_partkey as product_id, cast(l_quantity as bigint) as quantity, cast(l_extendedprice as decimal(12,2)) as gross, cast(cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(4,2))) as decimal(18,4)) as revenue, l_returnflag as return_flag,
             cast(l_shipdate as date) as ship_date, p_type as category, p_brand as brand, o.* exclude (order_id) from lineitem join part on p_partkey = l_partkey join o on o.order_id = l_orderkey),
     cal as (select cast(unnest(generate_series(min(cast(o_orderdate as date)), max(cast(o_orderdate as date)), interval 1 day)) as date) as business_date from orders),
     promo as (select 'promo-' || category as promotion_id, category, date '1996-01-01' + cast(length(category) * 37 as int) as start_date, date '1996-01-01' + cast(length(category) * 37 + 29 as int) as end_date

@@ -135,8 +135,11 @@ def synthetic_sessions(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("step", "log_level").agg(F.count("*").alias("n"), F.count_distinct("c_custkey").alias("customers"))
 
 
-@query(f"""with {STAR_SQL}, x as (select r_regionkey as city_id, business_date, {_U.format("'rain|' || r_regionkey || '|' || business_date")} as u, {_U.format("'heat|' || r_regionkey || '|' || business_date")} as v from region, cal)
-    select city_id, business_date, case when u < 0.2 then round(u * 200, 1) else 0 end as rainfall_mm, round(22 + 8 * sin((month(business_date) - 4) * 0.5235987755982988) + 4 * (v - 0.5), 1) as temperature_c from x""")
+WEATHER_SQL = f"""select city_id, business_date, case when u < 0.2 then round(u * 200, 1) else 0 end as rainfall_mm, round(22 + 8 * sin((month(business_date) - 4) * 0.5235987755982988) + 4 * (v - 0.5), 1) as temperature_c
+    from (select r_regionkey as city_id, business_date, {_U.format("'rain|' || r_regionkey || '|' || business_date")} as u, {_U.format("'heat|' || r_regionkey || '|' || business_date")} as v from region, cal)"""
+
+
+@query(f"with {STAR_SQL} {WEATHER_SQL}")
 def synthetic_weather(spark: SparkSession, d: str) -> DataFrame:
     """Rain and temperature of every city and day: a yearly wave and draws by city and day."""
     s = Star(spark, d)
