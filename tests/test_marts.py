@@ -107,7 +107,7 @@ def test_serving_checks_roles_parameters_and_filters(spark):
     kpis = serving.ask(spark, sf, "analyst", "sales_kpis", stores=two).where("period = 'current'").first()
     total = sum(r.net_revenue for r in every.collect() if r.store_id in two)
     assert kpis.net_revenue == total
-    assert serving.one_of("c", ["a'b"]) == " and c in ('a''b')" and serving.one_of("c", []) == ""
+    assert serving.one_of("c", "p", ["a'b"]) == " and array_contains(:p, c)" and serving.one_of("c", "p", []) == ""
 
 
 def test_published_lists_rest_on_all_lines(spark, sf):
