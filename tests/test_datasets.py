@@ -37,7 +37,7 @@ def test_lookups_soft_flags_and_emails(spark):
     got = {r.k: (r.email, r.dq_email_invalid, r.dq_off, r.dq_unsure) for r in o.valid.collect()}
     assert got == {"A": ("a@b.co", False, False, False), "B": (None, True, True, True), "D": (None, False, False, None)}
     q = contracts.quarantine(o).first()
-    assert (q.primary_rule, q.failed_rules, q.raw_record) == ("malformed:meta", "malformed:meta|type_invalid:n", '{"k":"c","meta":"not json","n":"x"}')
+    assert (q.primary_rule, q.failed_rules, q.raw_record) == ("malformed:meta", "malformed:meta|type_invalid:n", '{"k":"c","email":null,"meta":"not json","n":"x"}')
 
 
 def test_ledger_by_hand(spark):

@@ -238,7 +238,7 @@ def quarantine(o: Outcome) -> DataFrame:
     """Rejected rows in one form for all datasets: record id, rules, primary rule, severity, type, the row as JSON."""
     c = o.contract
     record = F.concat_ws(";", *[F.concat(F.lit(f"{k}="), F.coalesce(f"std_{k}", F.lit(""))) for k in c.key])
-    row = F.to_json(F.struct(*[F.col(f"raw_{f.name}").alias(f.name) for f in c.fields]))
+    row = F.to_json(F.struct(*[F.col(f"raw_{f.name}").alias(f.name) for f in c.fields]), {"ignoreNullFields": "false"})
     return o.rejected.select(
         F.lit(c.dataset).alias("source_dataset"),
         F.col(c.row_id).alias("row_id"),

@@ -344,7 +344,7 @@ def _valid(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _rejected(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def build(spark: SparkSession, d: str) -> DataFrame:
-        return contracts.quarantine(Shop(spark, d).get(name)).drop("raw_record")
+        return contracts.quarantine(Shop(spark, d).get(name))
 
     build.__doc__ = f"The rejected rows of {name} with all failed rules."
     return build
@@ -355,7 +355,7 @@ for _n, _c in CONTRACTS.items():
     _record = " || ';' || ".join(f"'{k}=' || coalesce(std_{k}, '')" for k in _c.key)
     QUERIES[f"rejected_{_n}"] = _rejected(_n)
     SQL[f"rejected_{_n}"] = (
-        f"{chain_sql(_n)} select '{_n}' as source_dataset, row_id, {_record} as source_record_id, array_to_string(failures, '|') as failed_rules, failures[1] as primary_rule, case when {_CASCADE} then 'warning' else 'error' end as severity, case when {_CASCADE} then 'cascade' else 'direct' end as rejection_type from {_n}_checked where len(failures) > 0"
+        f"{chain_sql(_n)} select '{_n}' as source_dataset, row_id, {_record} as source_record_id, array_to_string(failures, '|') as failed_rules, failures[1] as primary_rule, case when {_CASCADE} then 'warning' else 'error' end as severity, case when {_CASCADE} then 'cascade' else 'direct' end as rejection_type, cast(to_json(struct_pack({', '.join(f'{f.name} := raw_{f.name}' for f in _c.fields)})) as varchar) as raw_record from {_n}_checked where len(failures) > 0"
     )
 
 _FINAL_SQL = f"""select o.order_id, o.status, o.total_amount, t.computed_total as computed_total_amount, abs(o.total_amount - t.computed_total) > 0.005 as dq_total_mismatch, coalesce(q.most >= {BULK}, false) as is_outlier, o.status = 'delivered' and p.order_id is not null and c.order_id is null as is_completed from orders_valid o

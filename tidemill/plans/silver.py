@@ -127,7 +127,7 @@ def silver_payments(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUARANTINE_SQL = " union all ".join(
-    f"select '{c.dataset}' as source_dataset, row_id, '{c.key[0]}=' || coalesce(std_{c.key[0]}, '') as source_record_id, array_to_string(failures, '|') as failed_rules, failures[1] as primary_rule, case when {_CASCADE} then 'warning' else 'error' end as severity, case when {_CASCADE} then 'cascade' else 'direct' end as rejection_type from {c.dataset}_checked where len(failures) > 0"
+    f"select '{c.dataset}' as source_dataset, row_id, '{c.key[0]}=' || coalesce(std_{c.key[0]}, '') as source_record_id, array_to_string(failures, '|') as failed_rules, failures[1] as primary_rule, case when {_CASCADE} then 'warning' else 'error' end as severity, case when {_CASCADE} then 'cascade' else 'direct' end as rejection_type, cast(to_json(struct_pack({', '.join(f'{f.name} := raw_{f.name}' for f in c.fields)})) as varchar) as raw_record from {c.dataset}_checked where len(failures) > 0"
     for c in (ORDERS, ITEMS, PAYMENTS)
 )
 
@@ -135,7 +135,7 @@ _QUARANTINE_SQL = " union all ".join(
 @query(f"with {_ALL_SQL} {_QUARANTINE_SQL}")
 def quarantine(spark: SparkSession, d: str) -> DataFrame:
     """All rejected rows with every failed rule, the primary one, and whether they fail only because of their parent."""
-    return reduce(DataFrame.unionByName, [contracts.quarantine(o).drop("raw_record") for o in outcomes(spark, d).values()])
+    return reduce(DataFrame.unionByName, [contracts.quarantine(o) for o in outcomes(spark, d).values()])
 
 
 @query(f"""with {_ALL_SQL}, q as ({_QUARANTINE_SQL})
