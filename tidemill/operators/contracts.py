@@ -264,7 +264,7 @@ def conservation(o: Outcome) -> DataFrame:
 
 
 def quality_rows(o: Outcome) -> DataFrame:
-    """(dataset, check_type, rule_name, rows_affected, rows_checked, affected_pct) for rules, soft flags and standardised columns; one pass."""
+    """(dataset, check_type, rule_name, rows_affected, rows_checked, affected_pct, outcome) for duplicates, rules, soft flags and standardised columns."""
     c = o.contract
     rules = F.transform("failures", lambda f: F.concat(F.lit("rule/"), f))
     soft = [F.when(F.col(f"dq_{k.name.split(':')[1]}"), F.lit(f"soft_rule/{k.name}")) for k in c.checks if not k.hard]
@@ -273,4 +273,9 @@ def quality_rows(o: Outcome) -> DataFrame:
     counts = o.checked.select(F.explode(every).alias("what")).groupBy("what").agg(F.count("*").alias("rows_affected"))
     total = F.max(F.when(F.col("what") == "", F.col("rows_affected"))).over(W.partitionBy())  # one row per rule
     rows = counts.withColumn("rows_checked", total).where("what <> ''")
-    return rows.select(F.lit(c.dataset).alias("dataset"), F.substring_index("what", "/", 1).alias("check_type"), F.regexp_extract("what", "/(.*)", 1).alias("rule_name"), "rows_affected", "rows_checked", F.round(F.col("rows_affected") / F.col("rows_checked") * 100, 3).alias("affected_pct"))
+    named = rows.select(F.substring_index("what", "/", 1).alias("check_type"), F.regexp_extract("what", "/(.*)", 1).alias("rule_name"), "rows_affected", "rows_checked")
+    copies = o.checked.agg(F.coalesce(F.sum(F.col("n_copies") - 1), F.lit(0)).alias("rows_affected"), F.count("*").alias("rows_checked"))
+    every = named.unionByName(copies.select(F.lit("duplicates").alias("check_type"), F.lit("business_key").alias("rule_name"), "rows_affected", "rows_checked"))
+    kind, cascade = F.col("check_type"), F.col("rule_name").startswith("parent_rejected")
+    outcome = F.when(kind == "rule", F.when(cascade, "cascade").otherwise("quarantined")).when(kind == "standardize", "fixed").when(kind == "soft_rule", "flagged").otherwise("removed")
+    return every.select(F.lit(c.dataset).alias("dataset"), "check_type", "rule_name", "rows_affected", "rows_checked", F.round(F.col("rows_affected") / F.col("rows_checked") * 100, 3).alias("affected_pct"), outcome.alias("outcome"))

@@ -308,6 +308,17 @@ def retention_cohorts(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("cohort_size", size).withColumn("retention_rate", ratio(F.col("active_customers"), F.col("cohort_size")))
 
 
+_MONTHS = tuple(range(13))
+
+
+@query(f"""with {STAR_SQL}, {RETENTION_SQL}, g as (select cast(cohort as date) as cohort_month, date_diff('month', cohort, month) as k, count(*) as n from active join firsts using (customer_id) group by 1, 2)
+    select cohort_month, {", ".join(f"cast(sum(n) filter (k = {m}) as bigint) as month_{m}" for m in _MONTHS)} from g group by 1""")
+def cohort_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """Active customers of every cohort, one column for each of the first thirteen months."""
+    g = retention_cohorts(spark, d).groupBy("cohort_month").pivot("month_offset", list(_MONTHS)).agg(F.sum("active_customers"))
+    return g.select("cohort_month", *[F.col(f"`{m}`").alias(f"month_{m}") for m in _MONTHS])
+
+
 @query(f"""with {STAR_SQL}, {RETENTION_SQL},
     per as (select customer_id, count(*) as orders, sum(total_amount) as value, min(business_date) as first_day, max(business_date) as last_day from done group by 1),
     ranked as (select *, row_number() over (order by value, customer_id) as r, count(*) over () as n, (select max(business_date) from o) as as_of from per)

@@ -157,11 +157,13 @@ def row_conservation(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {_ALL_SQL},
     long as ({" union all ".join(f"select '{c.dataset}' as dataset, unnest(list_concat(list_transform(failures, lambda f: 'rule/' || f), list_filter([{', '.join(f'''case when coalesce(raw_{f.name}, '') <> coalesce(std_{f.name}, '') then 'standardize/{f.name}' end''' for f in c.fields)}{''', case when total_amount > 2000 then 'soft_rule/business:large_total' end''' if c is ORDERS else ''}], lambda f: f is not null))) as what from {c.dataset}_checked" for c in (ORDERS, ITEMS, PAYMENTS))}),
-    sizes as ({" union all ".join(f"select '{c.dataset}' as dataset, count(*) as n from {c.dataset}_checked" for c in (ORDERS, ITEMS, PAYMENTS))})
-    select dataset, split_part(what, '/', 1) as check_type, regexp_extract(what, '/(.*)', 1) as rule_name, cast(count(*) as bigint) as rows_affected, cast(max(n) as bigint) as rows_checked, round(count(*) / max(n) * 100, 3) as affected_pct
-    from long join sizes using (dataset) group by 1, 2, 3""")
+    sizes as ({" union all ".join(f"select '{c.dataset}' as dataset, count(*) as n from {c.dataset}_checked" for c in (ORDERS, ITEMS, PAYMENTS))}),
+    every as (select dataset, split_part(what, '/', 1) as check_type, regexp_extract(what, '/(.*)', 1) as rule_name, count(*) as affected, max(n) as n from long join sizes using (dataset) group by 1, 2, 3
+      {"".join(f" union all select '{c.dataset}', 'duplicates', 'business_key', sum(case when {c.key[0]} is null then 0 else n_copies - 1 end), count(*) from {c.dataset}_checked" for c in (ORDERS, ITEMS, PAYMENTS))})
+    select dataset, check_type, rule_name, cast(affected as bigint) as rows_affected, cast(n as bigint) as rows_checked, round(affected / n * 100, 3) as affected_pct,
+      case check_type when 'rule' then case when starts_with(rule_name, 'parent_rejected') then 'cascade' else 'quarantined' end when 'standardize' then 'fixed' when 'soft_rule' then 'flagged' else 'removed' end as outcome from every""")
 def quality_results(spark: SparkSession, d: str) -> DataFrame:
-    """Rows affected per rule, soft flag and standardised column."""
+    """Rows affected per rule, soft flag, standardised column and by de-duplication, with what became of them."""
     return reduce(DataFrame.unionByName, [contracts.quality_rows(o) for o in outcomes(spark, d).values()])
 
 
