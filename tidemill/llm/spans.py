@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemill.scale import HOT_SHARE, join_hot, join_salted, map_arrow, written
+from tidemill.scale import HOT_SHARE, counted, join_hot, join_salted, map_arrow, written
 
 MIN_LENGTH = 300
 WINDOW = 200
@@ -230,10 +230,10 @@ def _shared_anchors(long: DataFrame) -> DataFrame:
 
     The rows of a hot anchor (over 1/HOT_SHARE of all) are cut into `salts` parts; all its later joins are on (key, salt).
     """
-    anchors = written(map_arrow(long, _anchor_rows, "key bigint, doc_id bigint, pos int"), "anchors")
+    anchors, total = counted(map_arrow(long, _anchor_rows, "key bigint, doc_id bigint, pos int"), "anchors")
     at = F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")
     keys = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(at).alias("first")).where("low < high").select("key", "n", "first")
-    total = anchors.count()
+    keys = written(keys, "shared-keys")
     salts = F.ceil(F.col("n") / F.lit(max(1000.0, total / HOT_SHARE))).cast("int")
     joined = join_hot(anchors, keys, "key", "n", total).select("key", "doc_id", "pos", "n", salts.alias("salts"), (at == F.col("first")).alias("is_reference"))
     return written(joined.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.col("salts")).cast("int")), "shared-anchors")
@@ -273,12 +273,12 @@ def _spans(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("back").alias("at"), F.col("before_char").alias("c")), F.struct(F.lit(1).alias("side"), F.col("after").alias("at"), F.col("next_char").alias("c")))
     crowded = _per_salt(sizes.where("n > 2").select("key", "salts"))
     ends = factors.join(crowded, ["key", "salt"]).select("key", "doc_id", "pos", "low", "high", F.explode(sides).alias("e")).where("e.c is not null").select("key", F.col("e.side").alias("side"), F.col("e.at").alias("at"), F.col("e.c").alias("c"), "doc_id", "pos", "low", "high")
-    ends = written(ends.select(F.struct("key", "side", "at", "c").alias("end"), "doc_id", "pos", "low", "high"), "ends")
+    ends, n_ends = counted(ends.select(F.struct("key", "side", "at", "c").alias("end"), "doc_id", "pos", "low", "high"), "ends")
     together = ends.groupBy("end").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("end", "n")
-    leaving = join_hot(ends, together, "end", "n", ends.count()).select("doc_id", "pos", "low", "high").distinct()
-    hashed = written(map_arrow(_by_document(long, leaving, "pos", "low", "high"), _boundary_spans, "k1 bigint, k2 bigint, doc_id bigint, start int").withColumn("k", F.struct("k1", "k2")).drop("k1", "k2"), "boundary-spans")
+    leaving = join_hot(ends, together, "end", "n", n_ends).select("doc_id", "pos", "low", "high").distinct()
+    hashed, n_hashed = counted(map_arrow(_by_document(long, leaving, "pos", "low", "high"), _boundary_spans, "k1 bigint, k2 bigint, doc_id bigint, start int").withColumn("k", F.struct("k1", "k2")).drop("k1", "k2"), "boundary-spans")
     alike = hashed.groupBy("k").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("k", "n")
-    starts = join_hot(hashed, alike, "k", "n", hashed.count()).select("doc_id", "start").distinct()
+    starts = join_hot(hashed, alike, "k", "n", n_hashed).select("doc_id", "start").distinct()
     each = _by_document(long, starts, "start").select("doc_id", "text", F.explode("anchors.start").alias("start"))
     digest = F.sha2(F.substring(F.col("text"), F.col("start") + 1, F.lit(MIN_LENGTH)), 256)
     half = lambda a: F.conv(F.substring(digest, a, 16), 16, -10).cast("bigint")
@@ -291,9 +291,9 @@ def shared_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     Ids are bigint and unique; rows with a null id or text, and shorter texts, share nothing.
     """
-    members = written(_spans(documents, doc_id, text).select(F.struct("kind", "k1", "k2").alias("span"), "doc_id", "start"), "spans")
+    members, total = counted(_spans(documents, doc_id, text).select(F.struct("kind", "k1", "k2").alias("span"), "doc_id", "start"), "spans")
     held = members.groupBy("span").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("span", "n")
-    return join_hot(members, held, "span", "n", members.count()).select("span", "doc_id", "start")
+    return join_hot(members, written(held, "held-spans"), "span", "n", total).select("span", "doc_id", "start")
 
 
 def _classes(documents: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -304,21 +304,21 @@ def _classes(documents: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, D
     holders all have the same most widely held span adds no link to that one and is left out, so that what stands
     before and after a standing text does not split its class.
     """
-    one = written(shared_spans(documents, doc_id, text).select("span", "doc_id").distinct(), "holders")
+    one, n_one = counted(shared_spans(documents, doc_id, text).select("span", "doc_id").distinct(), "holders")
     mark = F.xxhash64("doc_id")
     groups = one.groupBy("span").agg(F.count("*").alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("sum"), F.bit_xor(mark).alias("xor"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     kept = groups.groupBy("n", "sum", "xor", "low", "high").agg(F.min("span").alias("span")).select("span", "n")
-    distinct = written(join_hot(one, kept, "span", "n", one.count()).select("span", "doc_id", F.max(F.struct("n", "span")).over(W.partitionBy("doc_id")).getField("span").alias("widest")), "distinct-holders")
+    distinct, n_distinct = counted(join_hot(one, written(kept, "kept-spans"), "span", "n", n_one).select("span", "doc_id", F.max(F.struct("n", "span")).over(W.partitionBy("doc_id")).getField("span").alias("widest")), "distinct-holders")
     telling = distinct.groupBy("span").agg(F.count("*").alias("n"), F.min("widest").alias("a"), F.max("widest").alias("b")).where("a <> b or a = span").select("span", "n")
-    held = written(join_hot(distinct, telling, "span", "n", distinct.count()).select("span", "doc_id"), "telling-holders")
+    held = written(join_hot(distinct, telling, "span", "n", n_distinct).select("span", "doc_id"), "telling-holders")
     # The spans of a document: an array that its length bounds.
-    signed = written(held.groupBy("doc_id").agg(F.sha2(F.to_json(F.sort_array(F.collect_set("span"))), 256).alias("signature")), "signatures")
+    signed, n_signed = counted(held.groupBy("doc_id").agg(F.sha2(F.to_json(F.sort_array(F.collect_set("span"))), 256).alias("signature")), "signatures")
     classes = signed.groupBy("signature").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
-    members = written(join_hot(signed, classes, "signature", "n", signed.count()).select("doc_id", "class_id", F.col("n").alias("class_size")), "classes")
+    members = written(join_hot(signed, classes, "signature", "n", n_signed).select("doc_id", "class_id", F.col("n").alias("class_size")), "classes")
     first = members.where("doc_id = class_id").select("doc_id")
     reps = written(held.join(first, "doc_id").select("span", F.col("doc_id").alias("class_a")), "representatives")
     links = join_salted(reps, reps.withColumnRenamed("class_a", "class_b"), "span").where("class_a < class_b").select("class_a", "class_b").distinct()
-    return members, written(links, "links")
+    return members, links
 
 
 def sharing_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -328,6 +328,7 @@ def sharing_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     the classes linked to it. Hot standing texts cost one class, not their pairs.
     """
     members, links = _classes(documents, doc_id, text)
+    links = written(links, "links")
     sizes = members.where("doc_id = class_id").select("class_id", "class_size")
     both = links.union(links.select("class_b", "class_a")).toDF("class_id", "other")
     reached = both.join(sizes.toDF("other", "size"), "other").groupBy("class_id").agg(F.sum("size").alias("reached"))
