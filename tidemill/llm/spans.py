@@ -304,9 +304,9 @@ def _classes(documents: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, D
     holders all have the same most widely held span adds no link to that one and is left out, so that what stands
     before and after a standing text does not split its class.
     """
-    one, n_one = counted(shared_spans(documents, doc_id, text).select("span", "doc_id").distinct(), "holders")
+    one, n_one = counted(_spans(documents, doc_id, text).select(F.struct("kind", "k1", "k2").alias("span"), "doc_id").distinct(), "holders")
     mark = F.xxhash64("doc_id")
-    groups = one.groupBy("span").agg(F.count("*").alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("sum"), F.bit_xor(mark).alias("xor"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    groups = one.groupBy("span").agg(F.count("*").alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("sum"), F.bit_xor(mark).alias("xor"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     kept = groups.groupBy("n", "sum", "xor", "low", "high").agg(F.min("span").alias("span")).select("span", "n")
     distinct, n_distinct = counted(join_hot(one, written(kept, "kept-spans"), "span", "n", n_one).select("span", "doc_id", F.max(F.struct("n", "span")).over(W.partitionBy("doc_id")).getField("span").alias("widest")), "distinct-holders")
     telling = distinct.groupBy("span").agg(F.count("*").alias("n"), F.min("widest").alias("a"), F.max("widest").alias("b")).where("a <> b or a = span").select("span", "n")
